@@ -21,6 +21,8 @@ from blockloom.llm.common import WHITE
 MEMO_ROWS, MEMO_CHARS = 800_000, 48
 LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", "!-&(-/:-@\\[-`{-~"
 PIECE = re.compile(f" [{LETTER}]+(?=[{MARK} ])|[{WHITE}]*(?:[{LETTER}]+(?=[{MARK}])|[{MARK}]+(?=[{LETTER}{WHITE}]|$)|[^{WHITE}]+)|[{WHITE}]+")
+#: What every special token begins with; texts with it go to the library whole.
+SPECIAL = "<|"
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -34,7 +36,7 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [PIECE.findall(t) for t in texts]
+        split = [[t] if SPECIAL in t else PIECE.findall(t) for t in texts]
         memo, extra = self.memo, {}
         new = list({p for pieces in split for p in pieces if p not in memo})
         for at in range(0, len(new), 5000):
