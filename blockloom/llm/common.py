@@ -14,7 +14,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The words of the deduplication contracts.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: A side of a join is broadcast only when it has been counted and has at most so many rows of a few bytes.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
