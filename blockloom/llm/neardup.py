@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import discard, only_ids, stage
+from blockloom.llm.common import BROADCAST_ROWS, discard, only_ids, stage
 from blockloom.llm.components import components
 from blockloom.llm.shingles import mix, shingle_set
 
@@ -181,3 +181,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group; rows without doc_id stay."""
+    judged = stage(near_duplicates(docs, width, percent), "judged")
+    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = keyed.join(F.broadcast(gone) if few else gone, "_id", "left_anti")
+    if not again.isEmpty():  # repeated rows are copies too
+        kept = kept.join(again, "_id", "left_anti").unionByName(kept.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
+    return kept.select(docs.columns)

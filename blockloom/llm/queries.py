@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import decontaminate, neardup, packing, sql, substring, wavelet
+from blockloom.llm import decontaminate, neardup, packing, quality, sql, substring, wavelet
 from blockloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -37,7 +41,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_token_files, op6_decontamination, op8_substring_dedup, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_files, op6_decontamination, op8_substring_dedup, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
