@@ -3,10 +3,13 @@
 Each distinct shingle set gets COORDINATES minima. Sets are posted under
 (coordinate, value); two of similarity s agree in each coordinate with
 probability s, so linked pairs agree in ``least`` of them or more (five
-standard deviations below what the threshold lets expect). By the pigeonhole
-rule such a pair meets in one of the first COORDINATES - least + 1
-coordinates, the prefix, and only those are posted. Pairs that meet and agree
-in ``least`` coordinates are compared on their full sets.
+standard deviations below what the threshold lets expect). Pairs that meet and
+agree in ``least`` coordinates are compared on their full sets.
+
+Postings are the tokens (coordinate, value) of a signature in order of how
+many sets have them. A pair with ``least`` tokens in common meets in one of
+the COORDINATES - least + 1 rarest of each, the prefix; so frequent tokens,
+such as those of passages that many documents share, are mostly skipped.
 
 Lists of postings are merged by skipping: what a component already joins
 isn't compared again.
@@ -14,14 +17,10 @@ isn't compared again.
 1. In every list each member is paired with the list's pivot, the member that
    meets most others anywhere; only its two most frequent pivots count.
    Groups of near copies fall together here, in pairs linear in their size.
-2. Lists whose members lie in one component are dropped. Of a short list
-   (SHORT members) all pairs between components are candidates; of a long
-   one, those with its pivot.
-3. What is still long and mixed is split by the next coordinate: a linked
-   pair that meets in one coordinate meets in a second one among the first
-   COORDINATES - least + 2, and so on. This goes on until no list is left;
-   after DEEPEST coordinates the pairs between components are all taken, as
-   members of such a list agree in as many minima.
+2. Lists whose members lie in one component are dropped. Lists that are still
+   mixed and have more than SHORT members get up to ROUNDS further rounds,
+   each with two other pivots.
+3. Of what is then still mixed, all pairs between components are candidates.
 
 Equal sets are one class from the start, so copies are never paired.
 
@@ -45,7 +44,7 @@ from blockloom.llm.common import BROADCAST_ROWS, discard, only_ids, stage
 from blockloom.llm.components import components
 from blockloom.llm.shingles import mix, shingle_set
 
-COORDINATES, SHORT, DEEPEST, PIVOTS = 64, 24, 8, 2
+COORDINATES, SHORT, ROUNDS, PIVOTS = 64, 24, 3, 2
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>"
 
@@ -106,13 +105,15 @@ class _Join:
         self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
 
-    def post(self, rows: DataFrame, level: int) -> DataFrame:
-        """rows: list (null at first), at, rep. One row (list, at, rep) for each later coordinate of the prefix; lists of one are dropped."""
-        x = rows.join(self.reps.select("rep", "sig"), "rep") if level > 1 else rows
-        x = x.select("list", "rep", "at", F.posexplode(F.slice("sig", 1, COORDINATES - self.least + level)).alias("k", "v")).where("k > at")
-        x = x.select(F.xxhash64("list", "k", "v").alias("list"), F.col("k").alias("at"), "rep")
-        many = x.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-        return stage(x.join(many, "list"), "postings")
+    def post(self) -> DataFrame:
+        """(list, rep, n) for the tokens in each set's prefix that others have too; n: how many sets have the token."""
+        tokens = self.reps.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("list"))
+        many = tokens.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+        # tokens that no other set has come first in the prefix, and so does each set's smallest number of sets
+        shared = tokens.join(many, "list").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("t"))
+        slots = F.size("t") - self.least + 1
+        prefix = shared.where(slots > 0).select("rep", F.explode(F.slice("t", 1, slots)).alias("t"))
+        return stage(prefix.select("t.list", "rep", "t.n"), "postings")
 
     def mixed(self, postings: DataFrame) -> DataFrame:
         """Postings with their component, of the lists that hold more than one."""
@@ -123,10 +124,14 @@ class _Join:
         open_ = x.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("list")
         return x.join(open_, "list", "left_semi")
 
-    def pivots(self, x: DataFrame, most: int) -> DataFrame:
-        """Pairs of each member with the pivots of its lists, the most frequent of them."""
-        hub = x.groupBy("rep").agg(F.sum("n").alias("hub"))
-        pivot = x.join(hub, "rep").groupBy("list").agg(F.max_by("rep", F.struct("hub", -F.col("rep"))).alias("pivot"))
+    def pivots(self, x: DataFrame, most: int, turn: int = 0) -> DataFrame:
+        """Pairs of each member with the pivots of its lists, the most frequent of them; later turns take members by hash."""
+        if turn:
+            pivot = x.groupBy("list").agg(F.max_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("p"), F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("q"))
+            pivot = pivot.select("list", F.explode(F.array("p", "q")).alias("pivot")).distinct()
+        else:
+            hub = x.groupBy("rep").agg(F.sum("n").alias("hub"))
+            pivot = x.join(hub, "rep").groupBy("list").agg(F.max_by("rep", F.struct("hub", -F.col("rep"))).alias("pivot"))
         pairs = x.join(pivot, "list").where("rep <> pivot").groupBy("rep", "pivot", "comp").agg(F.count("*").alias("met"))
         pairs = pairs.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "pivot")), False), 1, most).alias("p"))
         return pairs.select("rep", F.explode("p.pivot").alias("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
@@ -151,19 +156,16 @@ class _Join:
             self.comps = components(self.links)
 
     def run(self) -> DataFrame | None:
-        first = self.reps.select(F.lit(0).cast("long").alias("list"), "rep", F.lit(-1).alias("at"), "sig")
-        postings, level = self.post(first, 1), 1
+        postings = self.post()
         self.link(self.pivots(self.mixed(postings), PIVOTS))
-        while True:
-            x = self.mixed(postings)
-            brief = F.col("n") <= SHORT if level < DEEPEST else F.lit(True)
-            self.link(self.between(x.where(brief)).unionByName(self.pivots(x.where(~brief), COORDINATES)))
-            rest = stage(self.mixed(postings.where(~brief)).select("list", "at", "rep"), "long")
-            discard(postings)
+        for turn in range(1, ROUNDS + 1):
+            rest = stage(self.mixed(postings.where(F.col("n") > SHORT)), "long")
             if rest.isEmpty():
-                return self.comps
-            level += 1
-            postings = self.post(rest, level)
+                break
+            self.link(self.pivots(rest, COORDINATES, turn))
+            discard(rest)
+        self.link(self.between(self.mixed(postings)))
+        return self.comps
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
