@@ -20,7 +20,10 @@ isn't compared again.
 2. Lists whose members lie in one component are dropped. Lists that are still
    mixed and have more than SHORT members get up to ROUNDS further rounds,
    each with two other pivots.
-3. Of what is then still mixed, all pairs between components are candidates.
+3. Of what is then still mixed, the members of a list that lie in different
+   components are compared in blocks, each pair in the first list that it
+   shares. Candidates must agree in ``least`` minima and come near the
+   threshold by their sketches (the SKETCH smallest shingle hashes).
 
 Equal sets are one class from the start, so copies are never paired.
 
@@ -46,7 +49,9 @@ from blockloom.llm.shingles import mix, shingle_set
 
 COORDINATES, SHORT, ROUNDS, PIVOTS = 64, 24, 3, 2
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>"
+#: The smallest shingle hashes of a set that its sketch holds, and the members of a list that are compared with each other at a time.
+SKETCH, BLOCK = 128, 1024
+SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>, sketch binary"
 
 
 def least_matches(percent: int) -> int:
@@ -70,8 +75,8 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 x = shingle_set(text, width)
                 c1, c2 = (int(y.sum(dtype=np.uint64).astype(np.int64)) for y in (x, mix(x ^ np.uint64(0xA0761D6478BD642F))))
-                out.append((doc_id, len(x), c1, c2, _minima(x) if len(x) else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "c1", "c2", "sig"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, len(x), c1, c2, _minima(x) if len(x) else None, (x[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "c1", "c2", "sig", "sketch"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, SIGNED)
 
@@ -99,6 +104,44 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return with_a.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def _near(least: int, percent: int):
+    bound = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
+
+    def like(p: np.ndarray, q: np.ndarray) -> bool:
+        """By the sketches: the share of the smallest hashes of the union that both have."""
+        union = np.union1d(p, q)
+        if len(p) >= SKETCH or len(q) >= SKETCH:
+            union = union[:SKETCH]
+        return len(np.intersect1d(np.intersect1d(p, q, assume_unique=True), union, assume_unique=True)) >= bound * len(union)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Candidates among a list's members, or between two blocks of them."""
+        if group["comp"].nunique() < 2:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        where, x, y = int(group["list"].iloc[0]), int(group["x"].iloc[0]), int(group["y"].iloc[0])
+        group = group.sort_values("rep")
+        p, q = (group, group) if x == y else (group[group["left"]], group[~group["left"]])
+        sig_q, comp_q, size_q, rep_q = np.array(q["sig"].tolist()).reshape(len(q), -1), q["comp"].to_numpy(), q["size"].to_numpy(), q["rep"].to_numpy()
+        lists = [set(v[: list(v).index(where)]) for v in q["lists"]]
+        sketches = [np.frombuffer(v, "<u4") for v in q["sketch"]]
+        out = []
+        for r in p.itertuples(index=False):
+            fits = (comp_q != r.comp) & (100 * np.minimum(size_q, r.size) >= percent * np.maximum(size_q, r.size))
+            if x == y:
+                fits &= rep_q > r.rep
+            at = np.flatnonzero(fits)
+            if not len(at):
+                continue
+            at = at[(sig_q[at] == np.asarray(r.sig)).sum(axis=1) >= least]
+            if not len(at):
+                continue
+            earlier, mine = set(r.lists[: list(r.lists).index(where)]), np.frombuffer(r.sketch, "<u4")
+            out += [(min(r.rep, rep_q[k]), max(r.rep, rep_q[k])) for k in at.tolist() if earlier.isdisjoint(lists[k]) and like(mine, sketches[k])]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int):
         self.docs, self.reps, self.width, self.percent, self.least = docs, reps, width, percent, least_matches(percent)
@@ -127,23 +170,27 @@ class _Join:
     def pivots(self, x: DataFrame, most: int, turn: int = 0) -> DataFrame:
         """Pairs of each member with the pivots of its lists, the most frequent of them; later turns take members by hash."""
         if turn:
-            pivot = x.groupBy("list").agg(F.max_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("p"), F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("q"))
-            pivot = pivot.select("list", F.explode(F.array("p", "q")).alias("pivot")).distinct()
+            one, ticket = F.struct("rep", "comp"), F.xxhash64(F.lit(turn), "rep")
+            pivot = x.groupBy("list").agg(F.max_by(one, ticket).alias("p"), F.min_by(one, ticket).alias("q")).select("list", F.explode(F.array("p", "q")).alias("pivot")).distinct()
         else:
             hub = x.groupBy("rep").agg(F.sum("n").alias("hub"))
-            pivot = x.join(hub, "rep").groupBy("list").agg(F.max_by("rep", F.struct("hub", -F.col("rep"))).alias("pivot"))
-        pairs = x.join(pivot, "list").where("rep <> pivot").groupBy("rep", "pivot", "comp").agg(F.count("*").alias("met"))
+            pivot = x.join(hub, "rep").groupBy("list").agg(F.max_by(F.struct("rep", "comp"), F.struct("hub", -F.col("rep"))).alias("pivot"))
+        pivot = pivot.select("list", F.col("pivot.rep").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
+        pairs = x.join(pivot, "list").where("comp <> pivot_comp").groupBy("rep", "pivot", "comp").agg(F.count("*").alias("met"))
         pairs = pairs.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "pivot")), False), 1, most).alias("p"))
         return pairs.select("rep", F.explode("p.pivot").alias("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
     def between(self, x: DataFrame) -> DataFrame:
-        """All pairs of members of a list that lie in different components."""
-        y = x.select("list", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = x.join(y, "list").where("comp < comp_b")
-        return pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-
-    def link(self, pairs: DataFrame) -> None:
-        """Adds the pairs that agree in enough minima and whose sets are similar enough."""
+        """The pairs of members of a list, in different components, that may be similar enough."""
+        prefix = self.reps.select("rep", F.col("n").alias("size"), "sig", "sketch").join(x.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("p")), "rep")
+        rows = x.select("list", "rep", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).join(prefix.select("rep", "size", "sig", "sketch", F.col("p.list").alias("lists")), "rep")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"), "rep", "comp", "size", "sig", "sketch", "lists")
+        return rows.groupBy("list", "x", "y").applyInPandas(_near(self.least, self.percent), "a long, b long")
+
+    def link(self, pairs: DataFrame) -> bool:
+        """Adds the pairs that agree in enough minima and whose sets are similar enough; whether there are any."""
         a = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         b = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         x = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
@@ -152,18 +199,19 @@ class _Join:
         found = stage(confirm(close, self.docs, self.width, self.percent), "found")
         discard(close)
         self.links = found if self.links is None else self.links.unionByName(found)
-        if not found.isEmpty():
+        if some := not found.isEmpty():
             self.comps = components(self.links)
+        return some
 
     def run(self) -> DataFrame | None:
         postings = self.post()
         self.link(self.pivots(self.mixed(postings), PIVOTS))
         for turn in range(1, ROUNDS + 1):
             rest = stage(self.mixed(postings.where(F.col("n") > SHORT)), "long")
-            if rest.isEmpty():
-                break
-            self.link(self.pivots(rest, COORDINATES, turn))
+            some = not rest.isEmpty() and self.link(self.pivots(rest, COORDINATES, turn))
             discard(rest)
+            if not some:
+                break
         self.link(self.between(self.mixed(postings)))
         return self.comps
 
@@ -172,7 +220,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept."""
     signed = stage(sign(docs, width), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = stage(some.groupBy("n_shingles", "c1", "c2").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "c1", "c2", F.col("r.sig").alias("sig")), "classes")
+    reps = stage(some.groupBy("n_shingles", "c1", "c2").agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "c1", "c2", F.col("r.sig").alias("sig"), F.col("r.sketch").alias("sketch")), "classes")
     comps = _Join(docs, reps, width, percent).run()
     classes = reps.select("rep", F.col("n").alias("n_shingles"), "c1", "c2")
     if comps is None:

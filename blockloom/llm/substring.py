@@ -1,8 +1,8 @@
 """Substring dedup with a log-structured fingerprint index (operator 8).
 
-The index is a list of immutable runs in a shared folder. A run holds, for
-each bucket (a range of hash values), the sorted fingerprints of the windows
-of earlier batches, as binary rows. A batch of documents is added so:
+The index is a list of immutable runs in a shared folder. A run has a file for
+each bucket (a range of hash values) with the sorted fingerprints of windows
+of earlier batches. A batch of documents is added so:
 
 1. Tasks hash the windows of their documents, sort them, and cut the sorted
    run into buckets. What a task sees twice, it settles itself: only the
@@ -37,12 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import discard, only_ids, stage, staging_path
+from blockloom.llm.common import BROADCAST_ROWS, delete, only_ids, read_file, stage, staging_path, write_file
 from blockloom.llm.shingles import windows, word_hashes, words
 
 WIDTH, CHUNK_WORDS, MOST_RUNS, BATCHES = 13, 1_500_000, 2, 5
 CHECK_BITS = 16
-#: kind 0: the windows of a task's run in a bucket; 1: fingerprints of the index; 2: flagged places of a run; 3: the documents of a run.
+#: kind 0: the windows of a task's run in a bucket; 1: that the bucket exists; 2: flagged places of a run; 3: the documents of a run.
 ROWS = "kind int, bucket int, run string, a binary, b binary, c binary, d binary"
 _COLUMNS = ["kind", "bucket", "run", "a", "b", "c", "d"]
 JUDGED = "doc_id long, text_key long, n_words long, n_removed long, sha256 binary, ranges binary"
@@ -147,49 +147,60 @@ def _known(h: np.ndarray, check: np.ndarray, old_h: np.ndarray, old_check: np.nd
     return out
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the batch's runs against each other and against the index's."""
-    rows = [r for r in group.itertuples(index=False) if r.kind in (2, 3)]
-    runs = group[group.kind == 0].sort_values("run")
-    if not len(runs):
+def _put(path: str, h: np.ndarray, check: np.ndarray) -> None:
+    a = squeeze_sorted(h)
+    write_file(path, len(a).to_bytes(8, "little") + a + squeeze(check))
+
+
+def _get(path: str) -> tuple[np.ndarray, np.ndarray]:
+    data = read_file(path)
+    n = int.from_bytes(data[:8], "little")
+    return widen_sorted(data[8 : 8 + n], np.uint64), widen(data[8 + n :], np.uint16)
+
+
+def _merge(old: list[str], new: str | None, compact: bool):
+    """One bucket: the batch's runs against each other and against the index's; writes the bucket's file of the new run."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(group["bucket"].iloc[0])
+        rows = [r for r in group.itertuples(index=False) if r.kind in (2, 3)]
+        runs = group[group.kind == 0].sort_values("run")
+        h, check, place, doc, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for k, r in enumerate(runs.itertuples(index=False)):
+            n = int.from_bytes(r.d[:4], "little")
+            ids, ends = widen(r.d[4 : 4 + n], np.int64), widen(r.d[4 + n :], np.uint32)
+            h.append(widen_sorted(r.a, np.uint64))
+            check.append(widen(r.b, np.uint16))
+            place.append(widen(r.c, np.uint32))
+            doc.append(ids[np.searchsorted(ends, place[-1], "right")])
+            which.append(np.full(len(place[-1]), k, np.int32))
+        h, check, place, doc, which = map(np.concatenate, (h, check, place, doc, which))
+        order = np.lexsort((doc, check, h))
+        h, check, doc = h[order], check[order], doc[order]
+        begin = _first(h, check)
+        starts, nth = np.flatnonzero(begin), np.cumsum(begin) - 1
+        new_h, new_check = h[starts], check[starts]
+        known = np.zeros(len(starts), bool)
+        kept = []
+        for path in old:
+            old_h, old_check = _get(f"{path}/{bucket}")
+            known |= _known(new_h, new_check, old_h, old_check)
+            if compact:
+                kept.append((old_h, old_check))
+        if len(h):
+            flagged = order[known[nth] | (doc > doc[starts][nth])]
+            where, at = which[flagged], place[flagged]
+            for k, name in enumerate(runs["run"]):
+                if len(x := np.sort(at[where == k])):
+                    rows.append((2, bucket, name, squeeze_sorted(x), None, None, None))
+        if new:
+            kept.append((new_h[~known], new_check[~known]))
+            h, check = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((check, h))
+            _put(f"{new}/{bucket}", h[order], check[order])
         return pd.DataFrame(rows, columns=_COLUMNS)
-    h, check, place, doc, which = [], [], [], [], []
-    for k, r in enumerate(runs.itertuples(index=False)):
-        n = int.from_bytes(r.d[:4], "little")
-        ids, ends = widen(r.d[4 : 4 + n], np.int64), widen(r.d[4 + n :], np.uint32)
-        h.append(widen_sorted(r.a, np.uint64))
-        check.append(widen(r.b, np.uint16))
-        place.append(widen(r.c, np.uint32))
-        doc.append(ids[np.searchsorted(ends, place[-1], "right")])
-        which.append(np.full(len(place[-1]), k, np.int32))
-    h, check, place, doc, which = map(np.concatenate, (h, check, place, doc, which))
-    order = np.lexsort((doc, check, h))
-    h, check, doc = h[order], check[order], doc[order]
-    begin = _first(h, check)
-    starts = np.flatnonzero(begin)
-    nth = np.cumsum(begin) - 1
-    new_h, new_check = h[starts], check[starts]
-    known = np.zeros(len(starts), bool)
-    for r in group[group.kind == 1].itertuples(index=False):
-        known |= _known(new_h, new_check, widen_sorted(r.a, np.uint64), widen(r.b, np.uint16))
-    flagged = order[known[nth] | (doc > doc[starts][nth])]
-    names, bucket = list(runs["run"]), int(group["bucket"].iloc[0])
-    where, at = which[flagged], place[flagged]
-    for k, name in enumerate(names):
-        if len(x := np.sort(at[where == k])):
-            rows.append((2, bucket, name, squeeze_sorted(x), None, None, None))
-    if not known.all():
-        rows.append((1, bucket, uuid.uuid4().hex, squeeze_sorted(new_h[~known]), squeeze(new_check[~known]), None, None))
-    return pd.DataFrame(rows, columns=_COLUMNS)
-
-
-def _compact(group: pd.DataFrame) -> pd.DataFrame:
-    h = np.concatenate([widen_sorted(x, np.uint64) for x in group["a"]])
-    check = np.concatenate([widen(x, np.uint16) for x in group["b"]])
-    order = np.lexsort((check, h))
-    h, check = h[order], check[order]
-    keep = _first(h, check)
-    return pd.DataFrame([(1, int(group["bucket"].iloc[0]), uuid.uuid4().hex, squeeze_sorted(h[keep]), squeeze(check[keep]), None, None)], columns=_COLUMNS)
+
+    return run
 
 
 def _judge(width: int):
@@ -218,39 +229,33 @@ def _judge(width: int):
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints in a shared folder; buckets is fixed when it is made."""
+    """Runs of window fingerprints in a shared folder; the number of buckets is fixed when it is made."""
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int | None = None, folder: str | None = None):
         self.spark, self.width = spark, width
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[DataFrame] = []
+        self.folder = folder or staging_path(spark, "index")
+        self.runs: list[str] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """Flags of a batch (kinds 2 and 3), staged; its new fingerprints become a run, unless no batch will follow."""
+        new, compact = None if last else f"{self.folder}/{uuid.uuid4().hex}", len(self.runs) >= MOST_RUNS
+        flags = self._add(docs, new, compact and not last)
+        if new:
+            if compact:
+                for run in self.runs:
+                    delete(self.spark, run)
+            self.runs = [new] if compact else [*self.runs, new]
+        gc.collect()  # plans that nothing refers to, and with them their shuffle files
+        self.spark._jvm.System.gc()
+        return flags
+
+    def _add(self, docs: DataFrame, new: str | None, compact: bool) -> DataFrame:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
         found = rows.mapInPandas(_fingerprint(self.width, self.buckets), ROWS)
-        for run in self.runs:
-            found = found.unionByName(run)
-        merged = found.repartition(self.buckets, "bucket").groupBy("bucket").applyInPandas(_merge, ROWS)
-        merged = stage(merged.where("kind <> 1") if last else merged, "fingerprints")
-        if not last:
-            self.runs.append(merged.where("kind = 1"))
-            if len(self.runs) > MOST_RUNS:
-                self.compact()
-        self._let_go()
-        return merged.where("kind <> 1")
-
-    def compact(self) -> None:
-        """All runs into one."""
-        old, all_runs = self.runs, self.runs[0]
-        for run in old[1:]:
-            all_runs = all_runs.unionByName(run)
-        self.runs = [stage(all_runs.repartition(self.buckets, "bucket").groupBy("bucket").applyInPandas(_compact, ROWS), "compacted")]
-
-    def _let_go(self) -> None:
-        """Shuffle files of finished jobs go when their plans are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ROWS.split(", ")[2:]]
+        all_buckets = self.spark.range(self.buckets).select(F.lit(1).alias("kind"), F.col("id").cast("int").alias("bucket"), *none)
+        return stage(found.unionByName(all_buckets).groupBy("bucket").applyInPandas(_merge(self.runs, new, compact), ROWS), "flags")
 
 
 def text_key():
@@ -270,8 +275,9 @@ def judge(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFr
             within |= F.col("doc_id").isNull()
         found = index.add(docs.where(within), last=k == len(edges) - 2)
         flags = found if flags is None else flags.unionByName(found)
-    out = stage(flags.groupBy("run").applyInPandas(_judge(width), JUDGED), "judged")
-    return out
+    for run in index.runs:
+        delete(spark, run)
+    return stage(flags.groupBy("run").applyInPandas(_judge(width), JUDGED), "judged")
 
 
 def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,7 +311,7 @@ def strip(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     judged = judge(docs, width)
     changed = judged.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": text_key()})
-    few = changed.limit(1 + 500_000).count() <= 500_000
+    few = changed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     same = keyed.join(F.broadcast(changed) if few else changed, ["_id", "_key"], "left_anti").select(docs.columns)
     kept = _partly(docs, judged).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
     cut = only_ids(keyed, kept.select("_id").distinct(), "_id").join(kept, ["_id", "_key"]).select([F.col("kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])

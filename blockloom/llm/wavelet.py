@@ -19,7 +19,6 @@ SHARD_TOKENS, but is never cut. Other columns are not looked at.
 from __future__ import annotations
 
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import stage, staging_path
+from blockloom.llm.common import read_file, stage, staging_path, write_file
 from blockloom.llm.tokens import encoder
 
 MAGIC, CHUNK_BITS, SHARD_TOKENS, END_ID = b"BLWM0001", 1 << 16, 4_000_000, 0
@@ -147,26 +146,8 @@ class Shard:
         return out
 
 
-def _store(uri: str):
-    """The store that a path is in, by Arrow, and the path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def save(uri: str, data: bytes) -> None:
-    """Under another name first: a task that runs again puts the same file in the same place."""
-    store, path = _store(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(temp := f"{path}.{uuid.uuid4().hex}") as f:
-        f.write(data)
-    store.move(temp, path)
-
-
 def load(uri: str) -> Shard:
-    store, path = _store(uri)
-    with store.open_input_stream(path) as f:
-        return Shard(f.read())
+    return Shard(read_file(uri))
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -180,7 +161,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int = SHAR
         def flush() -> pd.DataFrame:
             nonlocal ids, keys, n, k
             path = f"{folder}/{part:06d}-{k:06d}.blwm"
-            save(path, build(np.frombuffer(b"".join(ids), "<u4"), keys, [len(x) // 4 for x in ids]))
+            write_file(path, build(np.frombuffer(b"".join(ids), "<u4"), keys, [len(x) // 4 for x in ids]))
             row = pd.DataFrame([(part, k, path, len(ids), n)], columns=["part", "shard", "path", "n_docs", "n_tokens"])
             ids, keys, n, k = [], [], 0, k + 1
             return row
