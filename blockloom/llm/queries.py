@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import decontaminate, embeddings, language, neardup, packing, quality, sql, substring, wavelet
+from blockloom.llm import decontaminate, embeddings, html, language, neardup, packing, quality, sql, substring, urls, wavelet
 from blockloom.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_packing, op2_quality_rules, op3_token_files, op6_decontamination, op7_embedding_near_dedup, op8_substring_dedup, op9_minhash_near_dedup, op10_language_id)
+ALL = (op1_packing, op2_quality_rules, op3_token_files, op4_url_words, op5_html_text, op6_decontamination, op7_embedding_near_dedup, op8_substring_dedup, op9_minhash_near_dedup, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
