@@ -1,0 +1,8 @@
+"""Explicit schemas of the tables that the operators take and give."""
+
+BLOCKS = "number long, gas_used long, tx_count long"
+READS = "block long, seq int, kind string, address binary, key binary, data binary"
+PAYLOAD = "block long, data binary"
+INDEX = "append_pos long, block long, offset long, length int"
+REPORT = "total_entries long, valid_entries long, invalid_entries long, duplicate_entries long, truncated_entries long, min_block long, max_block long, missing_blocks array<long>, repaired boolean, error_message string"
+RUNS = "mode string, run int, seconds double"
