@@ -148,7 +148,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a test item."""
-    found = stage(matches(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "leaks")
+    found = stage(matches(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__bl_id")).distinct(), "leaks")
     few = found.limit(500_001).count() <= 500_000
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return keyed.join(F.broadcast(found) if few else found, "_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("__bl_id", F.col("doc_id").cast("long"))
+    return keyed.join(F.broadcast(found) if few else found, "__bl_id", "left_anti").select(docs.columns)

@@ -236,11 +236,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group; rows without doc_id stay."""
     judged = stage(near_duplicates(docs, width, percent), "judged")
-    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__bl_id")).distinct()
+    again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("__bl_id")).count().where("count > 1").select("__bl_id")
+    keyed = docs.withColumn("__bl_id", F.col("doc_id").cast("long"))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = keyed.join(F.broadcast(gone) if few else gone, "_id", "left_anti")
+    kept = keyed.join(F.broadcast(gone) if few else gone, "__bl_id", "left_anti")
     if not again.isEmpty():  # repeated rows are copies too
-        kept = kept.join(again, "_id", "left_anti").unionByName(kept.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
+        kept = kept.join(again, "__bl_id", "left_anti").unionByName(kept.join(again, "__bl_id", "left_semi").dropDuplicates(["__bl_id"]))
     return kept.select(docs.columns)

@@ -181,16 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3) -> RuleE
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """docs with _score."""
     stats = statistics(F.col("text"))
-    taken = docs.withColumn("_stats", F.struct(*[c.alias(k) for k, c in stats.items()]))
-    return taken.withColumn("_score", model.column({k: F.col("_stats")[k] for k in stats})).drop("_stats")
+    taken = docs.withColumn("__bl_stats", F.struct(*[c.alias(k) for k, c in stats.items()]))
+    return taken.withColumn("__bl_score", model.column({k: F.col("__bl_stats")[k] for k in stats})).drop("__bl_stats")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     x = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return x.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return x.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("__bl_score").alias("score"), (F.col("__bl_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    return score(docs, fit(docs, labels)).where("_score >= 0.5").select(docs.columns)
+    return score(docs, fit(docs, labels)).where("__bl_score >= 0.5").select(docs.columns)

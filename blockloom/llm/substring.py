@@ -309,10 +309,10 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def strip(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with repeated windows cut out of their texts; a text that loses nothing stays as it is, one that loses all words goes."""
     judged = judge(docs, width)
-    changed = judged.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": text_key()})
+    changed = judged.where("n_removed > 0").select(F.col("doc_id").alias("__bl_id"), F.col("text_key").alias("__bl_key")).distinct()
+    keyed = docs.withColumns({"__bl_id": F.col("doc_id").cast("long"), "__bl_key": text_key()})
     few = changed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = keyed.join(F.broadcast(changed) if few else changed, ["_id", "_key"], "left_anti").select(docs.columns)
-    kept = _partly(docs, judged).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
-    cut = only_ids(keyed, kept.select("_id").distinct(), "_id").join(kept, ["_id", "_key"]).select([F.col("kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    same = keyed.join(F.broadcast(changed) if few else changed, ["__bl_id", "__bl_key"], "left_anti").select(docs.columns)
+    kept = _partly(docs, judged).select(F.col("doc_id").alias("__bl_id"), F.col("text_key").alias("__bl_key"), F.col("kept").alias("__bl_kept"))
+    cut = only_ids(keyed, kept.select("__bl_id").distinct(), "__bl_id").join(kept, ["__bl_id", "__bl_key"]).select([F.col("__bl_kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])
     return same.unionByName(cut)
