@@ -1,6 +1,7 @@
 """Windows over a whole table, in two levels, so that no task holds all of it.
 
-Rows are dealt by ranges of a numeric key (``width`` of it a bucket); windows
+Rows are dealt by ranges of the key: ``width`` of a number, or the first
+PREFIX characters or bytes of a string or binary key, make a bucket. Windows
 run inside a bucket, and what crosses buckets is settled over one or two rows
 of each.
 """
@@ -10,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 100_000
+WIDTH, PREFIX = 100_000, 2
 
 
-def _bucket(key: str, width: int) -> Column:
+def _bucket(df: DataFrame, key: str, width: int) -> Column:
+    if dict(df.dtypes)[key] in ("string", "binary"):
+        return F.substring(key, 1, PREFIX)
     return F.floor(F.col(key) / F.lit(width)).cast("long")
 
 
 def running_sum(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = False, start: int = 0, width: int = WIDTH) -> DataFrame:
     """``start`` plus the sum of value over the rows before (inclusive: and the row itself), in order of a unique key."""
-    x = df.withColumns({"_b": _bucket(key, width), "_v": value.cast("long")})
+    x = df.withColumns({"_b": _bucket(df, key, width), "_v": value.cast("long")})
     totals = x.groupBy("_b").agg(F.sum("_v").alias("_t"))
     before = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)), F.lit(0))
@@ -33,7 +36,7 @@ def position(df: DataFrame, key: str, out: str, width: int = WIDTH) -> DataFrame
 
 def previous(df: DataFrame, key: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
     """The value of the row before, in order of a unique key; null at the first."""
-    x = df.withColumn("_b", _bucket(key, width))
+    x = df.withColumn("_b", _bucket(df, key, width))
     last = x.groupBy("_b").agg(F.max_by(value, key).alias("_last"))
     edge = last.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_edge"))
     w = Window.partitionBy("_b").orderBy(key)
@@ -42,7 +45,8 @@ def previous(df: DataFrame, key: str, value: str, out: str, width: int = WIDTH)
 
 def islands(df: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
     """Runs of consecutive distinct keys: start, end, blocks."""
-    x = df.select(F.col(key).cast("long").alias("n")).distinct().withColumn("_b", _bucket("n", width))
+    x = df.select(F.col(key).cast("long").alias("n")).distinct()
+    x = x.withColumn("_b", _bucket(x, "n", width))
     x = x.withColumn("_g", F.col("n") - F.row_number().over(Window.partitionBy("_b").orderBy("n")))
     part = x.groupBy("_b", "_g").agg(F.min("n").alias("start"), F.max("n").alias("end"))
     edge = (F.pmod("start", F.lit(width)) == 0) | (F.pmod("end", F.lit(width)) == width - 1)
