@@ -39,4 +39,17 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(
 FROM s LEFT JOIN comp ON s.doc_id = comp.x
 """
 
-ORACLES = {"op8_substring_dedup": SUBSTRING, "op9_minhash_near_dedup": NEAR}
+COSINE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, coalesce(c, vec_id) >= vec_id AS kept
+FROM embeddings LEFT JOIN comp ON vec_id = comp.x LEFT JOIN degree ON vec_id = degree.x
+"""
+
+ORACLES = {"op7_embedding_near_dedup": COSINE, "op8_substring_dedup": SUBSTRING, "op9_minhash_near_dedup": NEAR}

@@ -196,6 +196,10 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_oracle_on_the_small_table(same_as_sql):
+    same_as_sql(registered.op7_embedding_near_dedup, sql.COSINE)
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 8)
     monkeypatch.setattr(embeddings, "WINDOW", 4)
