@@ -50,7 +50,7 @@ from blockloom.llm.shingles import mix, shingle_set
 COORDINATES, SHORT, ROUNDS, PIVOTS = 64, 24, 3, 2
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 #: The smallest shingle hashes of a set that its sketch holds, and the members of a list that are compared with each other at a time.
-SKETCH, BLOCK = 128, 1024
+SKETCH, BLOCK = 256, 1024
 SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>, sketch binary"
 
 
@@ -104,44 +104,73 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return with_a.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def _near(least: int, percent: int):
+def _alike(percent: int):
     bound = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
 
-    def like(p: np.ndarray, q: np.ndarray) -> bool:
-        """By the sketches: the share of the smallest hashes of the union that both have."""
-        union = np.union1d(p, q)
-        if len(p) >= SKETCH or len(q) >= SKETCH:
-            union = union[:SKETCH]
-        return len(np.intersect1d(np.intersect1d(p, q, assume_unique=True), union, assume_unique=True)) >= bound * len(union)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Candidates among a list's members, or between two blocks of them."""
-        if group["comp"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        where, x, y = int(group["list"].iloc[0]), int(group["x"].iloc[0]), int(group["y"].iloc[0])
-        group = group.sort_values("rep")
-        p, q = (group, group) if x == y else (group[group["left"]], group[~group["left"]])
-        sig_q, comp_q, size_q, rep_q = np.array(q["sig"].tolist()).reshape(len(q), -1), q["comp"].to_numpy(), q["size"].to_numpy(), q["rep"].to_numpy()
-        lists = [set(v[: list(v).index(where)]) for v in q["lists"]]
-        sketches = [np.frombuffer(v, "<u4") for v in q["sketch"]]
-        out = []
-        for r in p.itertuples(index=False):
-            fits = (comp_q != r.comp) & (100 * np.minimum(size_q, r.size) >= percent * np.maximum(size_q, r.size))
-            if x == y:
-                fits &= rep_q > r.rep
-            at = np.flatnonzero(fits)
-            if not len(at):
-                continue
-            at = at[(sig_q[at] == np.asarray(r.sig)).sum(axis=1) >= least]
-            if not len(at):
+    def alike(p: np.ndarray, q: np.ndarray, whole: bool) -> bool:
+        """By the sketches; whole: they hold all of both sets, but for hashes cut to 32 bits."""
+        at = np.searchsorted(q, p)
+        at[at == len(q)] = 0
+        both = p[q[at] == p]
+        if whole:
+            return 100 * (len(both) + 2) >= percent * (len(p) + len(q) - len(both))
+        union = np.unique(np.concatenate((p, q)))[:SKETCH]
+        return np.searchsorted(both, union[-1], "right") >= bound * len(union)
+
+    return alike
+
+
+def _near(least: int, percent: int):
+    """Candidates among a list's members, or between two blocks of them. Rows come sorted by list, x, y."""
+    alike = _alike(percent)
+
+    def compare(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        rep, comp, size, left = (g[c].to_numpy() for c in ("rep", "comp", "size", "left"))
+        one = g["x"].iloc[0] == g["y"].iloc[0]
+        ps, qs = (np.arange(len(g)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
+        sig, where, sets = np.stack(g["sig"].to_numpy()), g["list"].iloc[0], {}
+        lists, sketches = g["lists"].to_numpy(), [np.frombuffer(v, "<u4") for v in g["sketch"]]
+
+        def earlier(k: int) -> set[int]:
+            if k not in sets:
+                sets[k] = set(lists[k][: int(np.flatnonzero(lists[k] == where)[0])].tolist())
+            return sets[k]
+
+        for i in ps.tolist():
+            at = qs[(comp[qs] != comp[i]) & (100 * np.minimum(size[qs], size[i]) >= percent * np.maximum(size[qs], size[i]))]
+            if one:
+                at = at[rep[at] > rep[i]]
+            if len(at):
+                at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
+            for k in at.tolist():
+                if earlier(i).isdisjoint(earlier(k)) and alike(sketches[i], sketches[k], max(size[i], size[k]) <= SKETCH):
+                    yield min(rep[i], rep[k]), max(rep[i], rep[k])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in _and_end(batches):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
                 continue
-            earlier, mine = set(r.lists[: list(r.lists).index(where)]), np.frombuffer(r.sketch, "<u4")
-            out += [(min(r.rep, rep_q[k]), max(r.rep, rep_q[k])) for k in at.tolist() if earlier.isdisjoint(lists[k]) and like(mine, sketches[k])]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            key = rows[["list", "x", "y"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])).tolist()
+            ends = [*starts[1:], len(rows)]
+            if batch is not None:  # the last group may go on in the next batch
+                held = rows.iloc[starts.pop() :].reset_index(drop=True)
+                ends.pop()
+            comp = rows["comp"].to_numpy()
+            out = [pair for a, b in zip(starts, ends, strict=True) if (comp[a:b] != comp[a]).any() for pair in compare(rows.iloc[a:b])]
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _and_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 class _Join:
     def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int):
         self.docs, self.reps, self.width, self.percent, self.least = docs, reps, width, percent, least_matches(percent)
@@ -187,7 +216,7 @@ class _Join:
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"), "rep", "comp", "size", "sig", "sketch", "lists")
-        return rows.groupBy("list", "x", "y").applyInPandas(_near(self.least, self.percent), "a long, b long")
+        return rows.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y").mapInPandas(_near(self.least, self.percent), "a long, b long")
 
     def link(self, pairs: DataFrame) -> bool:
         """Adds the pairs that agree in enough minima and whose sets are similar enough; whether there are any."""
