@@ -43,7 +43,7 @@ ENDS_P = BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 CLASSES = set("ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus share sharing social related newsletter subscribe subscription popup modal toolbar pagination masthead topbar skip".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[^A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -165,14 +165,14 @@ def extract(root: Node, template: set[int]) -> str:
 
     def end() -> None:
         if parts:
-            if text := plain("".join(parts)):
+            if text := " ".join("".join(parts).split()):
                 blocks.append(text)
             parts.clear()
 
     def walk(x: Node) -> None:
         for kid in x.kids:
             if isinstance(kid, str):
-                parts.append(kid)
+                parts.append(html.unescape(kid) if "&" in kid else kid)
             elif kid.gone:
                 parts.append(" ")
             elif kid.name == "br":

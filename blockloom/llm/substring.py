@@ -29,11 +29,13 @@ from __future__ import annotations
 import gc
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,15 +76,15 @@ def _first(h: np.ndarray, check: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint(width: int, buckets: int):
+def _fingerprint(width: int, buckets: int, batch_name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs: list[tuple] = []  # doc_id, text_key, words, sha256
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        n, k, task = 0, 0, TaskContext.get().partitionId()
 
         def flush() -> pd.DataFrame:
-            nonlocal docs, parts, n
-            name, rows = uuid.uuid4().hex, []
+            nonlocal docs, parts, n, k
+            name, rows = f"{batch_name}-{task}-{k}", []  # a task that runs again gives its runs the same names
             ids = np.array([0 if d[0] is None else d[0] for d in docs], np.int64)
             counts = np.array([d[2] for d in docs], np.uint32)
             sizes = np.array([len(p[0]) for p in parts], np.int64)
@@ -107,7 +109,7 @@ def _fingerprint(width: int, buckets: int):
                 lo, hi = edges[b], edges[b + 1]
                 if lo < hi:
                     rows.append((0, b, name, squeeze_sorted(h[lo:hi]), squeeze(check[lo:hi]), squeeze(place[lo:hi]), len(table[0]).to_bytes(4, "little") + table[0] + table[1]))
-            docs, parts, n = [], [], 0
+            docs, parts, n, k = [], [], 0, k + 1
             return pd.DataFrame(rows, columns=_COLUMNS)
 
         for batch in batches:
@@ -131,7 +133,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def hash_bucket(name: str, buckets: int) -> int:
-    return int(name[:8], 16) % buckets
+    return zlib.crc32(name.encode()) % buckets
 
 
 def _known(h: np.ndarray, check: np.ndarray, old_h: np.ndarray, old_check: np.ndarray) -> np.ndarray:
@@ -252,7 +254,7 @@ class FingerprintIndex:
 
     def _add(self, docs: DataFrame, new: str | None, compact: bool) -> DataFrame:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
-        found = rows.mapInPandas(_fingerprint(self.width, self.buckets), ROWS)
+        found = rows.mapInPandas(_fingerprint(self.width, self.buckets, uuid.uuid4().hex), ROWS)
         none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ROWS.split(", ")[2:]]
         all_buckets = self.spark.range(self.buckets).select(F.lit(1).alias("kind"), F.col("id").cast("int").alias("bucket"), *none)
         return stage(found.unionByName(all_buckets).groupBy("bucket").applyInPandas(_merge(self.runs, new, compact), ROWS), "flags")

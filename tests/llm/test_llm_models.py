@@ -244,6 +244,7 @@ PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
         ("a < b <p hidden>no</p><div style='display:none'>no</div>", "a < b"),
         ("<script>never closed", ""),
+        ("<p title=it's>one</p><p title='a > b'>two &<b>amp;</b></p>", "one\ntwo &amp;"),
     ],
 )
 def test_main_text(page, want):
