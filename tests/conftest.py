@@ -21,6 +21,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from blockloom.plans.shipping import ship
+
+    ship(session)
     yield session
     session.stop()
 
