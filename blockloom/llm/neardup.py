@@ -242,11 +242,17 @@ class _Join:
             if not some:
                 break
         self.link(self.between(self.mixed(postings)))
+        discard(postings)
         return self.comps
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept."""
+    return _judged(docs, width, percent)[0]
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result, and the staged tables that it reads."""
     signed = stage(sign(docs, width), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stage(some.groupBy("n_shingles", "c1", "c2").agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "c1", "c2", F.col("r.sig").alias("sig"), F.col("r.sketch").alias("sketch")), "classes")
@@ -259,12 +265,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = signed.select("doc_id", "n_shingles", "c1", "c2").join(classes.drop("rep"), ["n_shingles", "c1", "c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept")), [signed, reps]
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group; rows without doc_id stay."""
-    judged = stage(near_duplicates(docs, width, percent), "judged")
+    found, staged = _judged(docs, width, percent)
+    judged = stage(found, "judged")
+    for x in staged:
+        discard(x)
     gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__bl_id")).distinct()
     again = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("__bl_id")).count().where("count > 1").select("__bl_id")
     keyed = docs.withColumn("__bl_id", F.col("doc_id").cast("long"))

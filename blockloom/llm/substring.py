@@ -31,6 +31,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BROADCAST_ROWS, delete, only_ids, read_file, stage, staging_path, write_file
+from blockloom.llm.common import BROADCAST_ROWS, delete, discard, only_ids, read_file, stage, staging_path, write_file
 from blockloom.llm.shingles import windows, word_hashes, words
 
 WIDTH, CHUNK_WORDS, MOST_RUNS, BATCHES = 13, 1_500_000, 2, 5
@@ -270,16 +271,18 @@ def judge(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFr
     index = FingerprintIndex(spark, width)
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], F.lit(1000)).alias("q")).first()["q"] or []
     edges = [None, *sorted(set(cuts)), None]
-    flags = None
+    flags: list[DataFrame] = []
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         within = F.lit(True) if lo is None and hi is None else F.col("doc_id") > lo if hi is None else (F.col("doc_id") <= hi) & (F.col("doc_id") > lo) if lo is not None else F.col("doc_id") <= hi
         if lo is None:
             within |= F.col("doc_id").isNull()
-        found = index.add(docs.where(within), last=k == len(edges) - 2)
-        flags = found if flags is None else flags.unionByName(found)
+        flags.append(index.add(docs.where(within), last=k == len(edges) - 2))
     for run in index.runs:
         delete(spark, run)
-    return stage(flags.groupBy("run").applyInPandas(_judge(width), JUDGED), "judged")
+    out = stage(reduce(DataFrame.unionByName, flags).groupBy("run").applyInPandas(_judge(width), JUDGED), "judged")
+    for x in flags:
+        discard(x)
+    return out
 
 
 def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
