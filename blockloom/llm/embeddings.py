@@ -1,20 +1,18 @@
-"""Embedding near-dedup by sorted projection passes (operator 7).
-
-In each pass vectors are ordered by the concatenated signs of 64 random
-projections, and each is compared with the WINDOW vectors before it in that
-order; pairs whose cosine, in double precision, reaches the threshold are
-united within a task, which sends on a tree of links, never all pairs. The
-union over PASSES passes, each with other projections, gives the components.
-
-A link lies within one component, so the numbers of links are then counted
-exactly per component, in blocks of BLOCK vectors against each other, which
-also counts pairs that no window showed. Equal vectors are one class from the
-start, with their number as weight.
-
-Two vectors of cosine 0.95 share each sign with probability 0.9, and a pass
-finds them if they share about log2(n / WINDOW) leading signs: 0.4 for the 2e6
-vectors of 256 lists of 8 signs, so 24 passes miss 4e-6 of such pairs; closer
-ones are found sooner.
+"""Embedding near-dedup by comparing all pairs in blocks (operator 7).
+
+Vectors of one length are dealt by a hash of their ids into blocks of at most
+about BLOCK vectors and NUMBERS numbers, each a file in the shared folder. Each
+block is compared with itself and all blocks before it, WINDOW of them a unit
+of work. A product in single precision settles the pairs that are farther from
+the threshold than its rounding can reach; the others are computed again in
+double precision. So no pair is missed, however dense or one-sided a group of
+vectors is. Of the links a unit sends on a tree, never all pairs, and for each
+vector the number of near ones. Equal vectors are one class from the start, with
+their number as weight.
+
+The comparisons are quadratic in the distinct vectors: half of n squared inner
+products. Vectors are shuffled once; the files of blocks are read again by each
+unit that needs them.
 
 Defined cases: null or zero vectors, and those with null or non-finite
 components, have no links and are their own component; vectors of different
@@ -25,21 +23,17 @@ null vec_id links with nothing; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import stage
+from blockloom.llm.common import read_file, stage, staging_path, write_file
 from blockloom.llm.components import Forest, components
 
-COSINE, PASSES, SIGNS, WINDOW, BLOCK, ROWS_A_TASK = 0.95, 24, 64, 256, 1024, 16_384
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    """Rows of raw doubles as a matrix."""
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+COSINE, BLOCK, NUMBERS, WINDOW, AGAIN = 0.95, 2048, 1 << 20, 8, 1 << 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -52,51 +46,78 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(vector=[_unit(np.asarray(v, np.float64)[None, :]).tobytes() for v in batch["vector"]])
 
 
-def _project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    planes: dict[int, np.ndarray] = {}
-    weights = np.uint64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.uint64)
-    for batch in batches:
-        for dim, part in batch.groupby("dim"):
-            if dim not in planes:
-                planes[dim] = np.random.default_rng(12345).standard_normal((dim, PASSES * SIGNS)).astype(np.float32)
-            signs = (_matrix(part["vector"]).astype(np.float32) @ planes[dim] > 0).reshape(len(part), PASSES, SIGNS)
-            keys = (signs * weights).sum(axis=2, dtype=np.uint64).view(np.int64)
-            for p in range(PASSES):
-                yield pd.DataFrame({"pass": p, "dim": dim, "key": keys[:, p], "rep": part["rep"].to_numpy(), "vector": part["vector"].to_numpy()})
-
-
-def _neighbours(cosine: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links among rows in order, within WINDOW of each other, as trees."""
-        group, ids, before = None, np.zeros(0, np.int64), np.zeros((0, 0))
-        for batch in batches:
-            out = Forest()
-            for which, part in batch.groupby(["pass", "dim"], sort=False):
-                if which != group:
-                    group, ids, before = which, np.zeros(0, np.int64), np.zeros((0, which[1]))
-                reps, x = part["rep"].to_numpy(), _matrix(part["vector"])
-                for at in range(0, len(reps), WINDOW):
-                    new, y = reps[at : at + WINDOW], x[at : at + WINDOW]
-                    ids, before = np.concatenate([ids[-WINDOW:], new]), np.concatenate([before[-WINDOW:], y])
-                    near = np.tril(y @ before.T >= cosine, len(before) - len(y) - 1)
-                    for i in np.flatnonzero(near.any(axis=1)):
-                        linked = np.flatnonzero(near[i])
-                        for root in {out.root(v) for v in ids[linked].tolist()}:
-                            out.join(root, int(new[i]))
-            rows = [(k, out.root(k)) for k in list(out)]
-            yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"])
+def _put(folder: str):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """A block's ids, weights and vectors as a file."""
+        group = group.sort_values("rep")
+        dim, block = int(group["dim"].iloc[0]), int(group["block"].iloc[0])
+        write_file(f"{folder}/{dim}-{block}", group["rep"].to_numpy(np.int64).tobytes() + group["size"].to_numpy(np.int64).tobytes() + b"".join(group["vector"]))
+        return pd.DataFrame({"dim": [dim], "block": [block]})
 
     return run
 
 
-def _count(cosine: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """For the vectors asked for, the weight of those of the other block that are near."""
-        asked, other = group[group["asked"]], group[~group["asked"]]
-        if not len(asked) or not len(other):
-            return pd.DataFrame({"rep": [], "near": []}).astype("int64")
-        near = (_matrix(asked["vector"]) @ _matrix(other["vector"]).T >= cosine) & (asked["rep"].to_numpy()[:, None] != other["rep"].to_numpy()[None, :])
-        return pd.DataFrame({"rep": asked["rep"].to_numpy(), "near": near @ other["size"].to_numpy().astype(np.int64)})
+@lru_cache(2)
+def _get(folder: str, dim: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = read_file(f"{folder}/{dim}-{block}")
+    n = len(data) // (8 * (dim + 2))
+    x = np.frombuffer(data, np.float64, offset=16 * n).reshape(n, dim)
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), x, x.astype(np.float32)
+
+
+def near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, cosine: float) -> np.ndarray:
+    """Which unit vectors of x and y reach the cosine, as double precision has it."""
+    rough, margin = x32 @ y32.T, (x.shape[1] + 8) * 2.0**-23  # twice the bound of rounding the vectors and their product
+    out = rough >= cosine - margin
+    if out.any():
+        i, j = np.nonzero(out & (rough < cosine + margin))
+        for at in range(0, len(i), AGAIN):
+            a, b = i[at : at + AGAIN], j[at : at + AGAIN]
+            out[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= cosine
+    return out
+
+
+def link(out: Forest, linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unites the ids of each component of a matrix of links; each row and column is looked at once."""
+    rows, columns = np.ones(len(a), bool), np.ones(len(b), bool)
+    for first in range(len(a)):
+        at = np.array([first] if rows[first] else [], np.int64)
+        rows[first] = False
+        while len(at):
+            new = np.flatnonzero(linked[at].any(axis=0) & columns)
+            columns[new] = False
+            at = np.flatnonzero(linked[:, new].any(axis=1) & rows)
+            rows[at] = False
+            for v in (*b[new].tolist(), *a[at].tolist()):
+                out.join(int(a[first]), v)
+
+
+def _compare(folder: str, absent: set[tuple[int, int]], cosine: float, window: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per unit: links (a, b) as trees, and for a vector (a) the weight of the near ones."""
+        for batch in batches:
+            for dim, block, first in zip(batch["dim"].tolist(), batch["block"].tolist(), batch["first"].tolist(), strict=True):
+                ids, sizes, x, x32 = _get(folder, dim, block)
+                out, own, found = Forest(), np.zeros(len(ids), np.int64), []
+                for other in range(first, min(first + window, block + 1)):
+                    if (dim, other) in absent:
+                        continue
+                    ids2, sizes2, y, y32 = _get(folder, dim, other)
+                    linked = near(x, y, x32, y32, cosine)
+                    if other == block:
+                        np.fill_diagonal(linked, False)
+                    i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                    if not len(i):
+                        continue
+                    linked = linked[np.ix_(i, j)]
+                    link(out, linked, ids[i], ids2[j])
+                    own[i] += linked @ sizes2[j]
+                    if other != block:
+                        found.append(pd.DataFrame({"a": ids2[j], "b": None, "near": sizes[i] @ linked}))
+                i = np.flatnonzero(own)
+                found.append(pd.DataFrame({"a": ids[i], "b": None, "near": own[i]}))
+                found.append(pd.DataFrame([(k, r, None) for k in list(out) if (r := out.root(k)) != k], columns=["a", "b", "near"]))
+                yield pd.concat(found).astype({"a": "int64", "b": "Int64", "near": "Int64"})
 
     return run
 
@@ -111,20 +132,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = v.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
     classes = classes.select("h1", "h2", "rep", "size", F.size("vector").alias("dim"), "vector")
     classes = stage(classes.mapInPandas(_pack, "h1 long, h2 long, rep long, size long, dim int, vector binary"), "vectors")
-    n = classes.count()
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) if n * PASSES > ROWS_A_TASK else 1, n * PASSES // ROWS_A_TASK)
-    passes = classes.select("rep", "dim", "vector").mapInPandas(_project, "pass int, dim int, key long, rep long, vector binary")
-    ordered = passes.repartitionByRange(tasks, "pass", "dim", "key").sortWithinPartitions("pass", "dim", "key", "rep")
-    comps = components(ordered.mapInPandas(_neighbours(cosine), "a long, b long"))
-    members = classes.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    many = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = members.join(many, "component").select("component", "rep", "size", "vector", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    asked = blocks.select("component", F.col("own").alias("x"), others.alias("y"), F.lit(True).alias("asked"), "rep", "size", "vector")
-    held = blocks.select("component", others.alias("x"), F.col("own").alias("y"), F.lit(False).alias("asked"), "rep", "size", "vector")
-    counted = asked.unionByName(held).groupBy("component", "x", "y").applyInPandas(_count(cosine), "rep long, near long").groupBy("rep").agg(F.sum("near").alias("near"))
-    known = members.select("h1", "h2", "rep", "size", "component").join(counted, "rep", "left")
+    counts = classes.groupBy("dim").count().collect()  # a row for each length of vectors
+    n_blocks = {r["dim"]: -(-r["count"] // max(1, min(BLOCK, NUMBERS // r["dim"]))) for r in counts}
+    folder, width = staging_path(spark, "blocks"), F.broadcast(spark.createDataFrame(list(n_blocks.items()), "dim int, n_blocks int"))
+    dealt = classes.join(width, "dim").select("dim", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"), "rep", "size", "vector")
+    written = stage(dealt.groupBy("dim", "block").applyInPandas(_put(folder), "dim int, block int"), "manifest")
+    absent = {(d, k) for d, n in n_blocks.items() for k in range(n)} - {(r["dim"], r["block"]) for r in written.collect()}  # a row for each block
+    n_units = sum(-(-(k + 1) // WINDOW) for n in n_blocks.values() for k in range(n))
+    tasks = max(1, min(n_units, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_units // WINDOW)))
+    units = written.select("dim", "block", F.explode(F.sequence(F.lit(0), F.col("block"), F.lit(WINDOW))).alias("first")).repartition(tasks)
+    found = stage(units.mapInPandas(_compare(folder, absent, cosine, WINDOW), "a long, b long, near long"), "found")
+    comps = components(found.where("b is not null").select("a", "b"))
+    members = classes.select("h1", "h2", "rep", "size").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counted = found.where("near is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("near").alias("near"))
+    known = members.join(counted, "rep", "left")
     out = v.select("vec_id", "good", "h1", "h2").join(known, ["h1", "h2"], "left")
     links = F.when(F.col("good"), F.col("size") - 1 + F.coalesce("near", F.lit(0))).otherwise(F.lit(0)).cast("long")
     component = F.when(F.col("good"), F.col("component")).otherwise(F.col("vec_id"))

@@ -200,6 +200,24 @@ def test_embedding_oracle_on_the_small_table(same_as_sql):
     same_as_sql(registered.op7_embedding_near_dedup, sql.COSINE)
 
 
+def test_embeddings_of_a_dense_one_sided_group(spark):
+    """Vectors of common cosine 0.9 share most signs of planes through the origin; pairs at 0.95 lie far apart in any order."""
+    rng, n, dim = np.random.default_rng(8), 8000, 64
+    x = np.sqrt(0.9) * np.eye(dim)[0] + np.sqrt(0.1 / dim) * rng.standard_normal((n, dim))
+    x[1::2] = np.sqrt(0.9) * np.eye(dim)[0] + 0.53 * (x[::2] - np.sqrt(0.9) * np.eye(dim)[0]) + 0.85 * np.sqrt(0.1 / dim) * rng.standard_normal((n // 2, dim))
+    x = np.float32(x).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    forest = components.Forest()
+    for a, b in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+        forest.join(a, b)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    assert linked.sum() > n / 4
+    assert got == {k: (m, forest.root(k), forest.root(k) == k) for k, m in enumerate(linked.sum(axis=1).tolist())}
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 8)
     monkeypatch.setattr(embeddings, "WINDOW", 4)
