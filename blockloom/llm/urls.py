@@ -3,9 +3,11 @@
 Rules are column expressions. For urls that no rule fits, names such as
 ``cheappills`` are split into words by the likeliest path under a unigram
 model (Viterbi), and multinomial naive Bayes scores the words of host and path.
-The unigram counts come from all urls of the table, over the seed words; the
-classes are learnt from the seeds. Only the VOCABULARY most frequent tokens
-are kept as words, a documented bound of the model.
+The unigram counts are those of all tokens of all urls of the table, over the
+seed words; the classes are learnt from the seeds. Counts of BROADCAST_ROWS
+tokens at most go to every task. More stay a table: each distinct name is
+joined with the counts of its substrings, and each distinct list of names is
+judged once, with the same results.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 is judged on no words, by the prior: allowed; repeated rows are judged again;
@@ -17,14 +19,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY, LONGEST, SEED_COUNT, PRIOR_BLOCK, MEMO_ROWS = 5000, 20, 50, 0.2, 200_000
+from blockloom.llm.common import BROADCAST_ROWS, stage
+
+LONGEST, SEED_COUNT, PRIOR_BLOCK, MEMO_ROWS = 20, 50, 0.2, 200_000
 #: Fixed values of the contract: verdict and rule (host, then path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Seed words of hosts and paths that are to be blocked, and of ordinary ones.
@@ -57,8 +61,8 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
 class Segmenter:
     """The likeliest words of a name; an unknown word costs ten times more with each letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int = 0):
+        self.total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
         self.memo: dict[str, list[str]] = {}
 
@@ -95,30 +99,76 @@ class NaiveBayes:
         return max(self.prior, key=lambda c: (self.prior[c] + sum(self.log[c][w] for w in seen), c))
 
 
+def _names(host: str, path: str) -> list[str]:
+    return [n for n in _WORDS.findall(host) + _WORDS.findall(path.lower()) if n not in NO_WORDS]
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names of each url that no rule fits, in one string."""
+    for batch in batches:
+        yield batch.assign(names=[" ".join(_names(h, p)) if v is None or pd.isna(v) else None for h, p, v in zip(batch["host"], batch["path"], batch["verdict"], strict=True)])
+
+
+def _judged_by_join(rows: DataFrame, counted: DataFrame, seeds: Counter, compound: Callable[[str], bool], bayes: NaiveBayes) -> DataFrame:
+    """The same as with counts in every task, with joins by name and by list of names."""
+    spark, least = rows.sparkSession, min(3, *map(len, seeds))
+
+    def words_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[not compound(w) for w in batch["token"]]]
+
+    def substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(n, w) for n in batch["name"] for w in {n[a:b] for a in range(len(n)) for b in range(a + least, min(a + LONGEST, len(n)) + 1)}]
+            yield pd.DataFrame(out, columns=["name", "token"])
+
+    def segmented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            split = [Segmenter({k["token"]: k["count"] for k in known}, total).words(n) for n, known in zip(batch["name"], batch["known"], strict=True)]
+            yield pd.DataFrame({"name": batch["name"], "words": [[w for w in x if w in bayes.known] for x in split]})
+
+    def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"names": batch["names"], "judged": [bayes.best([w for part in parts if part["words"] is not None for w in part["words"]]) for parts in batch["parts"]]})
+
+    planted = spark.createDataFrame([(w, SEED_COUNT * n) for w, n in seeds.items()], "token string, count long")
+    words = stage(counted.mapInPandas(words_only, "token string, count long").unionByName(planted).groupBy("token").agg(F.sum("count").alias("count")), "words")
+    total = words.agg(F.sum("count")).first()[0]
+    rows = rows.mapInPandas(_listed, rows.schema.simpleString()[7:-1] + ",names:string")
+    each = rows.where("names is not null").select("names").distinct().select("names", F.posexplode(F.split("names", " ")).alias("pos", "name"))
+    found = each.select("name").distinct().mapInPandas(substrings, "name string, token string").join(words, "token", "left")
+    known = found.groupBy("name").agg(F.collect_list(F.when(F.col("count").isNotNull(), F.struct("token", "count"))).alias("known"))
+    lists = each.join(known.mapInPandas(segmented, "name string, words array<string>"), "name", "left").groupBy("names").agg(F.sort_array(F.collect_list(F.struct("pos", "words"))).alias("parts"))
+    out = rows.join(lists.mapInPandas(verdicts, "names string, judged string"), "names", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "judged").alias("verdict"))
+
+
 def judged(pages: DataFrame, rules=RULES, block: list[str] = SEED_BLOCK, allow: list[str] = SEED_ALLOW) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict."""
     x = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     x = x.withColumn("by", ruled(F.col("host"), F.col("path"), rules))
+    rows = x.select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("verdict"))
     token = F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), "[^a-z]+"))
-    counted = x.select(token.alias("token")).where(F.length("token").between(3, LONGEST)).groupBy("token").count().orderBy(F.desc("count"), "token").limit(VOCABULARY)
-    counts = Counter({r["token"]: r["count"] for r in counted.collect() if r["token"] not in NO_WORDS})  # VOCABULARY rows at most
+    tokens = x.select(token.alias("token")).where(F.length("token").between(3, LONGEST) & ~F.col("token").isin(*NO_WORDS))
+    counted = stage(tokens.groupBy("token").count(), "tokens")
     seeds = Counter([*block, *allow])
+    bayes = NaiveBayes({"block": block, "allow": allow}, {"block": PRIOR_BLOCK, "allow": 1 - PRIOR_BLOCK})
     # names made of two words or more of the seeds are not words themselves
     plain = Segmenter({w: SEED_COUNT * n for w, n in seeds.items()})
-    compound = {w for w in counts if w not in seeds and len(parts := plain.words(w)) > 1 and all(p in seeds for p in parts)}
-    segmenter = Segmenter({w: counts[w] + SEED_COUNT * seeds[w] for w in {*counts, *seeds} - compound})
-    bayes = NaiveBayes({"block": block, "allow": allow}, {"block": PRIOR_BLOCK, "allow": 1 - PRIOR_BLOCK})
+    compound = lambda w: w not in seeds and len(parts := plain.words(w)) > 1 and all(p in seeds for p in parts)
+    if counted.count() > BROADCAST_ROWS:
+        return _judged_by_join(rows, counted, seeds, compound, bayes)
+    counts = Counter({r["token"]: r["count"] for r in counted.collect()})  # BROADCAST_ROWS rows at most
+    segmenter = Segmenter({w: counts[w] + SEED_COUNT * seeds[w] for w in {*counts, *seeds} if not compound(w)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for host, path, verdict in zip(batch["host"], batch["path"], batch["verdict"], strict=True):
                 if verdict is None or pd.isna(verdict):
-                    names = [n for n in _WORDS.findall(host) + _WORDS.findall(path.lower()) if n not in NO_WORDS]
-                    verdict = bayes.best(reduce(list.__add__, (segmenter.words(n) for n in names), []))
+                    verdict = bayes.best(reduce(list.__add__, (segmenter.words(n) for n in _names(host, path)), []))
                 out.append(verdict)
             yield batch.assign(verdict=out)
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = x.select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("verdict"))
     return rows.mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string")

@@ -223,6 +223,26 @@ def test_url_rules_and_words(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows_in_tasks", [urls.BROADCAST_ROWS, 10])
+def test_urls_use_every_word_of_the_table(spark, monkeypatch, rows_in_tasks):
+    """Rare words beyond the 5000 most frequent are words; counts in tasks and by join give the same."""
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", rows_in_tasks)
+    often = [f"q{a}{b}{c}z" for a in "bcdfghjklmnpqrstvwxz" for b in "bcdfghjklmnpqrstvwxz" for c in "bcdfghjklmnpq"] + ["ray", "age", "mere"]
+    rows = [f"http://{w}.example.org/{w}" for w in often] + ["http://betray.example.org/adage/cashmere", "http://cheappills.example.org/", "http://x.org", "http://x.net/es/1", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judged(df).collect()}
+    n = len(often)
+    assert n > 5000 and len(got) == len(rows)
+    assert [got[k] for k in range(n, n + 5)] == ["allow", "block", "allow", "block", "allow"]
+
+
+def test_urls_by_join_on_the_small_table(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = sorted(map(str, urls.judged(pages).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 10)
+    assert want == sorted(map(str, urls.judged(pages).collect()))
+
+
 def test_segmenter_takes_the_likeliest_words():
     s = urls.Segmenter({"cheap": 50, "pills": 50, "pill": 5, "scheap": 1})
     assert s.words("cheappills") == ["cheap", "pills"] and s.words("") == []
