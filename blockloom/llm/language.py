@@ -8,8 +8,10 @@ map; ridge regression on it, one language against the rest, gives weights.
 Both fold into one matrix, so a batch of texts is scored by two products.
 
 Training takes a sample of about PER_LANGUAGE rows of each language by a hash
-of their ids; counts of rows by language are over all of them. Every text is
-scored whole.
+of their ids; counts of rows by language are over all of them. Every language
+is learnt, and the sample goes past the driver in batches. From MOST_LANDMARKS /
+LANDMARKS (200) languages on each has fewer landmarks, one at least, so that the
+model stays in memory. Every text is scored whole.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 null languages aren't learnt from; with one language every text gets it; with
@@ -20,18 +22,19 @@ no rows; a very long text is one set as any other.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import fold
+from blockloom.llm.common import BROADCAST_ROWS, discard, fold, stage
 
-DIMENSIONS, LONGEST, LANDMARKS, PER_LANGUAGE, RIDGE, BATCH, LANGUAGES = 1 << 14, 4, 48, 400, 1e-2, 64, 200
+DIMENSIONS, LONGEST, LANDMARKS, PER_LANGUAGE, RIDGE, BATCH, MOST_LANDMARKS = 1 << 14, 4, 48, 400, 1e-2, 64, 9600
 UNKNOWN = "und"
 
 
@@ -77,22 +80,36 @@ class KernelModel:
         return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)), letters
 
     @classmethod
-    def fit(cls, texts: list[str], languages: list[str]) -> KernelModel:
-        names = sorted(set(languages))
+    def fit(cls, rows: Callable[[], Iterator[tuple[str | None, str]]], counts: dict[str, int]) -> KernelModel:
+        """rows: gives texts with their languages, each time it is called; landmarks are the first of each. counts: how many rows of a language there are, at least."""
+        names = sorted(counts)
         if not names:
             return cls([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((0, 0), np.float32))
-        x, letters = cls.features(texts)
-        y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang in languages])
-        use = letters > 0
-        x, y = x[use], y[use]
-        pick = np.concatenate([np.flatnonzero(y[:, k] > 0)[:LANDMARKS] for k in range(len(names))])
-        z = x[pick].T
+        most = max(1, min(LANDMARKS, MOST_LANDMARKS // len(names)))
+        room = [min(most, counts[n]) for n in names]
+        place = {n: (k, at) for k, (n, at) in enumerate(zip(names, np.cumsum([0, *room[:-1]]).tolist(), strict=True))}
+        z, taken = np.zeros((sum(room), DIMENSIONS), np.float32), [0] * len(names)
+        for batch in batched(rows(), BATCH):
+            for (_, lang), x, n in zip(batch, *cls.features([t for t, _ in batch]), strict=True):
+                k, at = place[lang]
+                if n and taken[k] < room[k]:
+                    z[at + taken[k]] = x
+                    taken[k] += 1
+            if taken == room:
+                break
+        z = z[z.any(axis=1)].T
         values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
         good = values > 1e-6
         root = vectors[:, good] / np.sqrt(values[good])
-        phi = (x @ z).astype(np.float64) @ root
-        w = np.linalg.solve(phi.T @ phi + RIDGE * np.eye(phi.shape[1]), phi.T @ y)
-        return cls(names, np.ascontiguousarray(z), (root @ w).astype(np.float32))
+        square, answer = RIDGE * np.eye(root.shape[1]), np.zeros((root.shape[1], len(names)))
+        for batch in batched(rows(), BATCH):
+            x, letters = cls.features([t for t, _ in batch])
+            y = np.full((len(batch), len(names)), -1.0)
+            y[np.arange(len(batch)), [place[lang][0] for _, lang in batch]] = 1.0
+            phi = (x[letters > 0] @ z).astype(np.float64) @ root
+            square += phi.T @ phi
+            answer += phi.T @ y[letters > 0]
+        return cls(names, np.ascontiguousarray(z), (root @ np.linalg.solve(square, answer)).astype(np.float32))
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
         x, letters = self.features(texts)
@@ -106,16 +123,21 @@ class KernelModel:
 
 def fit(docs: DataFrame, held: int = 2, of: int = 4) -> KernelModel:
     learnt = docs.where("lang is not null").where(fold(F.col("doc_id"), of) != held)
-    counts = learnt.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = learnt.groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in counts.collect()}  # a row for each language
     ticket = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    some = learnt.join(F.broadcast(counts), "lang").where(ticket * F.col("count") < PER_LANGUAGE)  # LANGUAGES rows at most
-    rows = some.select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang"])
-    return KernelModel.fit(list(rows["text"]), list(rows["lang"]))
+    some = learnt.join(F.broadcast(counts) if len(sizes) <= BROADCAST_ROWS else counts, "lang").where(ticket * F.col("count") < PER_LANGUAGE)
+    some = stage(some.select("doc_id", "text", "lang"), "languages")
+    seen = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+    ordered = some.orderBy(F.asc_nulls_last("doc_id"), "lang")
+    model = KernelModel.fit(lambda: ((r["text"], r["lang"]) for r in ordered.toLocalIterator()), seen)
+    discard(some)
+    return model
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))  # DIMENSIONS x LANDMARKS x languages numbers
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))  # DIMENSIONS x MOST_LANDMARKS numbers at most, or x languages if they are more
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -197,6 +197,19 @@ def test_language_of_odd_rows(spark):
     assert language.identified(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_language_learns_more_than_two_hundred(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(210):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(5 * k + j, " ".join(rng.choices(words, k=40)), f"l{k:03d}") for j in range(5)]
+    got = language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    learnt = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    want = {i: lang for i, _, lang in rows if lang in learnt}
+    assert len(learnt) > 200 and {r.lang_pred for r in got} == learnt
+    assert all(r.lang_pred == want[r.doc_id] for r in got if r.doc_id in want)
+
+
 def test_presence_kernel_against_sets():
     a, b = "Der Hund", "der  hund, 5"
     rows = np.zeros((2, language.DIMENSIONS), np.float32)
