@@ -1,9 +1,10 @@
 """HTML extraction with site template removal (operator 5).
 
 Each page's elements are hashed as subtrees: name, text and the hashes of
-what is inside. Spark counts in how many pages of a host each hash occurs;
-subtrees that occur in MOST_SHARE of the pages of a host, and in LEAST_PAGES at
-least, are the site's template and are deleted from its pages. What
+what is inside. Spark counts in how many pages of a host, and of each directory
+of its paths, each hash occurs; subtrees that occur in MOST_SHARE of the pages
+of a host or directory, and in LEAST_PAGES at least, are its template and are
+deleted from its pages. What
 hides from that count because it differs from page to page is named by its
 element or class: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments go. Text blocks (paragraphs, headings and the
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import BROADCAST_ROWS, stage
-from blockloom.llm.urls import host_of
+from blockloom.llm.urls import host_of, path_of
 
 LEAST_PAGES, MOST_SHARE = 5, 0.3
 #: Elements by their role in HTML.
@@ -190,31 +191,66 @@ def extract(root: Node, template: set[int]) -> str:
     return "\n".join(blocks)
 
 
+def places(host: str, path: str) -> list[int]:
+    """The host, then each directory of the path, hashed."""
+    h = xxhash.xxh3_64(host.encode("utf-8", "replace"))
+    out = [signed(h.intdigest())]
+    for part in path.split("/")[1:-1]:
+        h.update(b"/" + part.encode("utf-8", "replace"))
+        out.append(signed(h.intdigest()))
+    return out
+
+
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(host, signed(h)) for host, page in zip(batch["host"], batch["html"], strict=True) for h in {x.hash for x in subtrees(parse(page))}]
-        yield pd.DataFrame(rows, columns=["host", "hash"])
+        rows = []
+        for host, path, page in zip(batch["host"], batch["path"], batch["html"], strict=True):
+            hashes = {signed(x.hash) for x in subtrees(parse(page))}
+            rows += [(host, place, not k, h) for k, place in enumerate(places(host, path)) for h in hashes]
+        yield pd.DataFrame(rows, columns=["host", "place", "top", "hash"])
+
+
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(leaf, place, not k) for leaf, host, path in zip(batch["leaf"], batch["host"], batch["path"], strict=True) for k, place in enumerate(places(host, path))]
+        yield pd.DataFrame(rows, columns=["leaf", "place", "top"])
+
+
+def _located(pages: DataFrame, *columns: str) -> DataFrame:
+    """host, path, leaf (the host and the path's innermost directory) and html beside the columns."""
+    x = pages.select(*columns, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    return x.withColumn("leaf", F.concat("host", F.regexp_extract("path", "(?s)^(.*)/", 1)))
+
+
+def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per host the hashes of its template's subtrees, and per leaf those of its directories besides; their number is bounded by what a page has, over MOST_SHARE, for each host or directory."""
+    x = _located(pages)
+    placed = x.select("leaf", "host", "path").mapInPandas(_placed, "leaf string, place long, top boolean")
+    sizes = placed.groupBy("place").agg(F.count("*").alias("pages"))
+    found = x.select("host", "path", "html").mapInPandas(_hashes, "host string, place long, top boolean, hash long").groupBy("host", "place", "top", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    found = stage(found.join(sizes, "place").where(F.col("n") >= MOST_SHARE * F.col("pages")).select("host", "place", "top", "hash"), "templates")
+    whole = found.where("top")
+    parts = found.where("not top").join(whole.select("host", "hash"), ["host", "hash"], "left_anti").groupBy("place").agg(F.collect_list("hash").alias("part"))
+    leaves = placed.where("not top").select("leaf", "place").distinct().join(parts, "place").groupBy("leaf").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("part")))).alias("more"))
+    return whole.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")), leaves
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Per host the hashes of its template's subtrees; their number is bounded by what a page has, over MOST_SHARE."""
-    x = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    sizes = x.groupBy("host").agg(F.count("*").alias("pages"))
-    found = x.mapInPandas(_hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    return found.join(sizes, "host").where(F.col("n") >= MOST_SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+def _with(rows: DataFrame, hashes: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with the hashes of their key; broadcast only up to BROADCAST_ROWS."""
+    few = hashes.select(F.coalesce(F.sum(F.size(name) + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    return rows.join(F.broadcast(hashes) if few else hashes, key, "left")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    template = stage(templates(pages), "templates")
-    few = template.select(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    whole, leaves = (stage(x, "templates") for x in templates(pages))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [extract(parse(page), set() if t is None else set(t)) for page, t in zip(batch["html"], batch["template"], strict=True)]
+            texts = [extract(parse(page), {h for t in both if t is not None for h in t}) for page, *both in zip(batch["html"], batch["template"], batch["more"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.join(F.broadcast(template) if few else template, "host", "left").select("page_id", "url", "html", "template")
+    rows = _located(pages, "page_id", "url")
+    rows = _with(_with(rows, whole, "host", "template"), leaves, "leaf", "more").select("page_id", "url", "html", "template", "more")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -295,6 +295,18 @@ def test_templates_of_a_host(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+def test_templates_of_sections(spark):
+    """A notice on all pages of one of five sections is on a fifth of the host's; what recurs on a few pages of the host stays."""
+    page = "<html><body><div>Notice of {}</div><div><p>own text {}</p></div>{}<div>Call us</div></body></html>"
+    rows = []
+    for k in range(100):
+        url = f"http://a.org/s{k % 5}/{k}" if k % 2 else f"http://a.org/s{k % 5}/deep/{k}?q=/x/"
+        rows.append((k, url, page.format(k % 5, k, "<div>Seldom</div>" if k < 10 else "")))
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"own text {k}" + ("\nSeldom" if k < 10 else "") for k in range(100)}
+    assert len(html.places("a.org", "/s/deep/1")) == 3 and len(html.places("", "")) == len(html.places("a.org", "/1")) == 1
+
+
 def test_pages_of_the_table(spark):
     import re
 
