@@ -17,7 +17,8 @@ from blockloom.functions.scalars import block_of_file, code_from_store, code_to_
 from blockloom.operators import compare, index, ordered, profile, rollup, state, tasks
 from blockloom.plans import repair, replay
 
-BEGIN, END, STEP = 1000, 2000, 100
+#: The range of the registered queries is that of their table; it is split into about so many tasks.
+TASKS = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -45,27 +46,43 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 BLOCKS_SQL = """blocks AS (
   SELECT o_orderkey AS number, CAST(count(l_orderkey) AS BIGINT) AS tx_count, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS gas_used
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
-TASK_SQL = "least(CAST(floor((number - 1000) / 100.0) AS BIGINT), 9)"
+SPAN_SQL = """span AS (SELECT a, z, step, CAST(greatest(1, ceil((z - a) / step)) AS BIGINT) AS n FROM (SELECT a, z, greatest(1, (z - a) // 100) AS step FROM (SELECT min(o_orderkey) AS a, max(o_orderkey) AS z FROM orders)))"""
+TASK_SQL = "least(CAST(floor((number - a) / step) AS BIGINT), n - 1)"
+
+
+def span(spark: SparkSession, sf: str) -> tuple[int, int, int]:
+    """First and last block of the table, and the step."""
+    r = table(spark, sf, "orders").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("z")).first()
+    begin, end = (r["a"], r["z"]) if r["a"] is not None else (0, 0)
+    return begin, end, max(1, (end - begin) // TASKS)
 
 
 def log_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as index rows with planted faults: lengths of 0, offsets past the end, contents that are corrupt."""
-    e = table(spark, sf, "events").select(F.col("event_id").alias("append_pos"), F.col("user_id").alias("block"))
+    """Events as index rows with planted faults: blocks that are absent, lengths of 0, offsets before the data and past its end, contents that are corrupt, also those of the first and the last blocks."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("append_pos"), "user_id", F.expr("user_id + user_id div 7").alias("block"))
+    last = F.lit(e.agg(F.max("user_id")).first()[0])
     offset = F.when(F.col("append_pos") % 89 == 0, F.lit(5).cast("long")).otherwise(32 + F.col("append_pos") * 10)
-    return e.withColumns({"offset": offset, "length": F.when(F.col("append_pos") % 97 == 0, 0).otherwise(10).cast("int"), "ok": (F.col("append_pos") % 53 != 0) & (F.col("block") % 11 != 3)})
+    length = F.when(F.col("append_pos") % 97 == 0, 0).otherwise(10).cast("int")
+    ok = (F.col("append_pos") % 53 != 0) & (F.col("user_id") % 11 != 3) & F.col("user_id").between(2, last - 4)
+    return e.withColumns({"offset": offset, "length": length, "ok": ok}).drop("user_id")
+
+
+def log_bounds(spark: SparkSession, sf: str) -> tuple[int, int, int]:
+    """Where the data of the log ends, a little before the last rows do, and the range of blocks that is asked for, which ends a little before the last block."""
+    r = log_index(spark, sf).agg(F.max("append_pos").alias("pos"), F.min("block").alias("a"), F.max("block").alias("z")).first()
+    return (32 + 10 * r["pos"] - 15, r["a"], r["z"] - 2) if r["pos"] is not None else (32, 0, 0)
 
 
-DATA_END = 50_000
-INDEX_SQL = """idx AS (
-  SELECT event_id AS append_pos, user_id AS block, CASE WHEN event_id % 89 = 0 THEN 5 ELSE 32 + event_id * 10 END AS "offset",
-         CASE WHEN event_id % 97 = 0 THEN 0 ELSE 10 END AS length, event_id % 53 <> 0 AND user_id % 11 <> 3 AS ok FROM events),
-judged AS (SELECT *, block >= 0 AND block < 100000000 AND "offset" >= 32 AND "offset" <= 50000 AND length > 0 AND length < 10000000 AS loose,
-  block >= 0 AND block < 100000000 AND "offset" >= 32 AND "offset" <= 50000 AND length > 0 AND length < 10000000 AND "offset" + length <= 50000 AS strict FROM idx)"""
+INDEX_SQL = """raw AS (SELECT event_id AS append_pos, user_id, user_id + user_id // 7 AS block, CASE WHEN event_id % 89 = 0 THEN 5 ELSE 32 + event_id * 10 END AS "offset", CASE WHEN event_id % 97 = 0 THEN 0 ELSE 10 END AS length FROM events),
+bound AS (SELECT 32 + 10 * max(append_pos) - 15 AS fin, min(block) AS first, max(block) - 2 AS last, max(user_id) AS users FROM raw),
+idx AS (SELECT append_pos, block, "offset", length, append_pos % 53 <> 0 AND user_id % 11 <> 3 AND user_id BETWEEN 2 AND users - 4 AS ok, fin, first, last FROM raw, bound),
+judged AS (SELECT *, block >= 0 AND block < 100000000 AND "offset" >= 32 AND "offset" <= fin AND length > 0 AND length < 10000000 AS loose,
+  block >= 0 AND block < 100000000 AND "offset" >= 32 AND "offset" <= fin AND length > 0 AND length < 10000000 AND "offset" + length <= fin AS strict FROM idx)"""
 
 
-@query("SELECT o_orderkey AS number FROM orders WHERE o_orderkey BETWEEN 1000 AND 2000")
+@query(f"WITH {SPAN_SQL} SELECT o_orderkey AS number FROM orders, span WHERE o_orderkey BETWEEN a AND z")
 def block_range_scan(spark, sf):
-    return tasks.scan(table(spark, sf, "orders").select(F.col("o_orderkey").alias("number")), BEGIN, END)
+    return tasks.scan(table(spark, sf, "orders").select(F.col("o_orderkey").alias("number")), *span(spark, sf)[:2])
 
 
 @query("SELECT max(o_orderkey) AS last_block FROM orders")
@@ -73,14 +90,16 @@ def latest_block(spark, sf):
     return rollup.latest(table(spark, sf, "orders").select(F.col("o_orderkey").alias("number")))
 
 
-@query("SELECT CAST(t AS BIGINT) AS task, CAST(1000 + t * 100 AS BIGINT) AS start, CAST(CASE WHEN t = 9 THEN 2000 ELSE 1099 + t * 100 END AS BIGINT) AS \"end\" FROM range(10) AS r(t)")
+@query(f"WITH {SPAN_SQL} SELECT CAST(t AS BIGINT) AS task, CAST(min(a + t * step) AS BIGINT) AS start, CAST(min(CASE WHEN t = n - 1 THEN z ELSE a + (t + 1) * step - 1 END) AS BIGINT) AS \"end\", count(o_orderkey) AS blocks FROM span, LATERAL (SELECT unnest(range(n)) AS t) LEFT JOIN orders ON {TASK_SQL.replace('number', 'o_orderkey')} = t GROUP BY t")
 def task_split(spark, sf):
-    return tasks.tasks(spark, BEGIN, END, STEP)
+    begin, end, step = span(spark, sf)
+    counted = table(spark, sf, "orders").groupBy(tasks.task_of(F.col("o_orderkey"), begin, end, step).alias("task")).agg(F.count("*").alias("blocks"))
+    return tasks.tasks(spark, begin, end, step).join(counted, "task", "left").fillna(0, ["blocks"])
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT {TASK_SQL} AS task, count(*) AS blocks, CAST(sum(tx_count) AS BIGINT) AS txs, CAST(sum(gas_used) AS BIGINT) AS gas, min(number) AS min_block, max(number) AS max_block FROM blocks WHERE number BETWEEN 1000 AND 2000 GROUP BY 1")
+@query(f"WITH {BLOCKS_SQL}, {SPAN_SQL} SELECT {TASK_SQL} AS task, count(*) AS blocks, CAST(sum(tx_count) AS BIGINT) AS txs, CAST(sum(gas_used) AS BIGINT) AS gas, min(number) AS min_block, max(number) AS max_block FROM blocks, span GROUP BY 1")
 def range_rollup(spark, sf):
-    return rollup.by_task(blocks(spark, sf), BEGIN, END, STEP)
+    return rollup.by_task(blocks(spark, sf), *span(spark, sf))
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT count(*) AS blocks, CAST(sum(tx_count) AS BIGINT) AS txs, CAST(sum(gas_used) AS BIGINT) AS gas, min(number) AS min_block, max(number) AS max_block FROM blocks")
@@ -114,7 +133,7 @@ def batch_lookup_ordered(spark, sf):
 
 @query("SELECT doc_id AS block, CAST(coalesce(quality, CASE WHEN doc_id % 3 = 0 THEN 7 END) AS INTEGER) AS quality, CASE WHEN quality IS NOT NULL THEN 'log' WHEN doc_id % 3 = 0 THEN 'fallback' ELSE 'failed' END AS source FROM documents LEFT JOIN labels USING (doc_id)")
 def replay_with_fallback(spark, sf):
-    store = requested(spark, sf).where("block % 3 = 0").withColumn("quality", F.lit(7))
+    store = requested(spark, sf).withColumn("quality", F.when(F.col("block") % 3 == 0, 7))
     return index.with_fallback(requested(spark, sf), present(spark, sf), store, "quality")
 
 
@@ -158,7 +177,7 @@ def duplicate_count(spark, sf):
 
 @query(f"WITH {INDEX_SQL} SELECT append_pos, block, loose, strict FROM judged")
 def index_validity(spark, sf):
-    return log_index(spark, sf).select("append_pos", "block", index.valid(DATA_END, strict=False).alias("loose"), index.valid(DATA_END).alias("strict"))
+    return log_index(spark, sf).select("append_pos", "block", index.valid(log_bounds(spark, sf)[0], strict=False).alias("loose"), index.valid(log_bounds(spark, sf)[0]).alias("strict"))
 
 
 OFFSET_SQL = "o AS (SELECT doc_id AS block, n_chars AS length, CAST(32 + coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM documents)"
@@ -169,14 +188,15 @@ def append_offsets(spark, sf):
     return index.offsets(table(spark, sf, "documents").select(F.col("doc_id").alias("block"), F.col("n_chars").alias("length")))
 
 
-@query(f"WITH {OFFSET_SQL}, k AS (SELECT * FROM o WHERE block % 5 <> 0), f AS (SELECT *, CASE WHEN lag(\"offset\" + length) OVER (ORDER BY \"offset\") = \"offset\" THEN 0 ELSE 1 END AS new FROM k), i AS (SELECT *, sum(new) OVER (ORDER BY \"offset\") AS island FROM f) SELECT min(\"offset\") AS \"begin\", CAST(sum(length) AS BIGINT) AS bytes, count(*) AS reads FROM i GROUP BY island")
+@query(f"WITH {OFFSET_SQL}, k AS (SELECT length, \"offset\" + 100 * CAST(floor(block / 5) AS BIGINT) AS \"offset\" FROM o), f AS (SELECT *, CASE WHEN lag(\"offset\" + length) OVER (ORDER BY \"offset\") = \"offset\" THEN 0 ELSE 1 END AS new FROM k), i AS (SELECT *, sum(new) OVER (ORDER BY \"offset\") AS island FROM f) SELECT min(\"offset\") AS \"begin\", CAST(sum(length) AS BIGINT) AS bytes, count(*) AS reads FROM i GROUP BY island")
 def coalesce_reads(spark, sf):
-    return index.coalesce_ranges(append_offsets(spark, sf).where("block % 5 <> 0"))
+    """All payloads, with a hole in the file before every fifth."""
+    return index.coalesce_ranges(append_offsets(spark, sf).withColumn("offset", F.col("offset") + 100 * F.floor(F.col("block") / 5)))
 
 
-@query(f"WITH {INDEX_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY append_pos) - 1 AS pos FROM judged), a AS (SELECT count(*) AS n, CAST(sum(CAST(strict AS BIGINT)) AS BIGINT) AS v, min(pos) FILTER (WHERE NOT strict) AS bad, arg_max(\"offset\" + length, pos) FILTER (WHERE strict) AS last FROM p) SELECT n AS rows, v AS valid_rows, CAST(bad AS BIGINT) AS first_invalid, CAST(coalesce(bad, n) AS BIGINT) AS valid_before, CAST(last AS BIGINT) AS last_valid_end, CAST(greatest(50000 - coalesce(last, 32), 0) AS BIGINT) AS orphaned_bytes FROM a")
+@query(f"WITH {INDEX_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY append_pos) - 1 AS pos FROM judged), a AS (SELECT count(*) AS n, CAST(sum(CAST(strict AS BIGINT)) AS BIGINT) AS v, min(pos) FILTER (WHERE NOT strict) AS bad, arg_max(\"offset\" + length, pos) FILTER (WHERE strict) AS tail FROM p) SELECT n AS rows, v AS valid_rows, CAST(bad AS BIGINT) AS first_invalid, CAST(coalesce(bad, n) AS BIGINT) AS valid_before, CAST(tail AS BIGINT) AS last_valid_end, CAST(greatest(fin - coalesce(tail, 32), 0) AS BIGINT) AS orphaned_bytes FROM a, bound")
 def corruption_analysis(spark, sf):
-    return repair.analyse(log_index(spark, sf).drop("ok"), DATA_END)
+    return repair.analyse(log_index(spark, sf).drop("ok"), log_bounds(spark, sf)[0])
 
 
 def _flat(report: DataFrame) -> DataFrame:
@@ -185,25 +205,25 @@ def _flat(report: DataFrame) -> DataFrame:
 
 def _report_sql(keep: str) -> str:
     repairing, pick = keep == "last", "arg_max" if keep == "last" else "arg_min"
-    within = "strict AND block <= 120" if repairing else "strict"
+    within = "strict AND block <= last" if repairing else "strict"
     return f"""WITH {INDEX_SQL}, one AS (SELECT block, {pick}(ok, append_pos) AS ok FROM judged WHERE {within} GROUP BY block),
-w AS (SELECT count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS corrupt, count(*) AS n, min(block) FILTER (WHERE ok) AS lo, max(block) FILTER (WHERE ok) AS hi, min(block) AS blo, max(block) AS bhi FROM one),
-m AS (SELECT b FROM (SELECT unnest(range(greatest(0, blo), least(120, bhi) + 1)) AS b FROM w) WHERE b NOT IN (SELECT block FROM one)
-      UNION SELECT block FROM one WHERE NOT ok AND block BETWEEN 0 AND 120),
+w AS (SELECT count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS corrupt, count(*) AS n, min(block) FILTER (WHERE ok) AS lo, max(block) FILTER (WHERE ok) AS hi FROM one),
+m AS (SELECT b FROM (SELECT unnest(range(greatest(first, lo), least(last, hi) + 1)) AS b FROM w, bound) WHERE b NOT IN (SELECT block FROM one WHERE ok)
+      UNION SELECT block FROM one, bound WHERE NOT ok AND block BETWEEN first AND last),
 l AS (SELECT coalesce(string_agg(CAST(b AS VARCHAR), ',' ORDER BY b), '') AS s, count(*) AS k, min(b) AS a, max(b) AS z FROM m),
-t AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT strict) AS bad, count(*) FILTER (WHERE strict AND block > 120) AS beyond, count(*) FILTER (WHERE strict AND block <= 120) AS inr FROM judged)
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT strict) AS bad, count(*) FILTER (WHERE strict AND block > last) AS beyond, count(*) FILTER (WHERE strict AND block <= last) AS inr FROM judged)
 SELECT total AS total_entries, valid AS valid_entries, bad + corrupt AS invalid_entries, CAST({"inr - n" if repairing else "0"} AS BIGINT) AS duplicate_entries, CAST({"beyond" if repairing else "0"} AS BIGINT) AS truncated_entries,
        lo AS min_block, hi AS max_block, s AS missing_blocks, {"total > bad" if repairing else "true"} AS repaired, CASE WHEN k > 0 THEN k || ' blocks are missing, ' || a || ' to ' || z END AS error_message FROM t, w, l"""
 
 
 @query(_report_sql("last"))
 def repair_report(spark, sf):
-    return _flat(repair.repair_report(log_index(spark, sf), DATA_END, 0, 120))
+    return _flat(repair.repair_report(log_index(spark, sf), *log_bounds(spark, sf)))
 
 
 @query(_report_sql("first"))
 def rebuild_report(spark, sf):
-    return _flat(repair.rebuild_report(log_index(spark, sf), DATA_END, 0, 120))
+    return _flat(repair.rebuild_report(log_index(spark, sf), *log_bounds(spark, sf)))
 
 
 @query("SELECT *, CAST(sum(blocks) OVER (ORDER BY bucket) AS BIGINT) AS blocks_so_far, CAST(sum(gas) OVER (ORDER BY bucket) AS BIGINT) AS gas_so_far FROM (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS bucket, count(*) AS blocks, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS gas FROM events GROUP BY 1)")
@@ -250,10 +270,11 @@ def best_codec(spark, sf):
     return rollup.best_codec(d.withColumn("c", F.explode(made)).select("id", "original", "c.*"))
 
 
-@query("SELECT user_id, max(event_id) AS valid_from, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id <= 500 GROUP BY user_id")
+@query("SELECT user_id, max(event_id) AS valid_from, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id <= (SELECT max(event_id) FROM events) GROUP BY user_id")
 def asof_state(spark, sf):
     versions = table(spark, sf, "events").select("user_id", F.col("event_id").alias("valid_from"), "event_type")
-    return state.as_of(versions, 500, ["user_id"])
+    """The state at the end of the last block."""
+    return state.as_of(versions, versions.agg(F.max("valid_from")).first()[0] or 0, ["user_id"])
 
 
 @query("SELECT a.user_id, a.event_id AS block, b.event_id AS valid_from, b.event_type FROM events a ASOF LEFT JOIN events b ON a.user_id = b.user_id AND a.event_id - 1 >= b.event_id")
@@ -324,7 +345,8 @@ def record_reads(spark, sf):
 @query(f"{FOLD_SQL}, CASE WHEN user_id % 5 = 0 THEN 'fallback' ELSE 'log' END AS status FROM events")
 def replay_reads(spark, sf):
     users, known = _state(spark, sf)
-    logs = replay.payloads(replay.record(users, known, _sum_reads)).where("block % 5 <> 0")
+    logs = replay.payloads(replay.record(users, known, _sum_reads))
+    logs = logs.withColumn("data", F.when(F.col("block") % 5 == 0, F.substring("data", 1, 4)).otherwise(F.col("data")))  # records that are cut short
     return replay.replay(users, logs, _sum_reads, state=known)
 
 

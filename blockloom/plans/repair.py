@@ -40,7 +40,8 @@ def _report(index: DataFrame, data_end: int, begin: int, end: int, keep: str) ->
     good, within, one = _parts(index, data_end, keep, end if repair else None)
     written = one.where("ok")
     corrupt = one.where("not ok").select("block")
-    listed = gaps(written.unionByName(one.where("not ok"), allowMissingColumns=True), begin, end).unionByName(corrupt.where(F.col("block").between(begin, end))).distinct()
+    # gaps lie between the smallest and the largest block that is written; corrupt ones count wherever they are in the range
+    listed = gaps(written, begin, end).unionByName(corrupt.where(F.col("block").between(begin, end))).distinct()
     counts = index.agg(F.count("*").alias("total_entries"), F.coalesce(F.sum((~valid(data_end)).cast("long")), F.lit(0)).alias("bad"), F.coalesce(F.sum((valid(data_end) & (F.col("block") > end)).cast("long")), F.lit(0)).alias("beyond"), F.coalesce(F.sum((valid(data_end) & (F.col("block") <= end)).cast("long")), F.lit(0)).alias("in_range"))
     kept = one.agg(F.count("*").alias("blocks"), F.coalesce(F.sum((~F.col("ok")).cast("long")), F.lit(0)).alias("corrupt"), F.min(F.when(F.col("ok"), F.col("block"))).alias("min_block"), F.max(F.when(F.col("ok"), F.col("block"))).alias("max_block"))
     missing = listed.agg(F.sort_array(F.collect_list("block")).alias("missing_blocks"))

@@ -30,7 +30,7 @@ def read_text_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_single_files(spark: SparkSession, folder: str) -> DataFrame:
     """block, record: a file for each block, named block_<n>_reads.bin."""
-    x = spark.read.format("binaryFile").option("pathGlobFilter", "block_*_reads.bin").load(folder)
+    x = spark.read.format("binaryFile").load(folder.rstrip("/") + "/block_*_reads.bin")
     return x.select(block_of_file(F.col("path")).alias("block"), F.col("content").alias("record"))
 
 
