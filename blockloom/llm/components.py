@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import discard, stage
+from blockloom.llm.common import discard, mapped, stage
 
 
 class Forest(dict):
@@ -42,7 +42,7 @@ def _shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. One row (id, component) for each id that isn't the smallest of its component."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = stage(edges.mapInPandas(_shorten, "u long, v long").distinct(), "links")
+    edges = stage(edges.transform(mapped, _shorten, "u long, v long", 1 << 20).distinct(), "links")
     while True:
         settled = edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
         if settled:

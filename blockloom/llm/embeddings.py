@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import read_file, stage, staging_path, write_file
+from blockloom.llm.common import mapped, read_file, stage, staging_path, write_file
 from blockloom.llm.components import Forest, components
 
 COSINE, BLOCK, NUMBERS, WINDOW, AGAIN = 0.95, 2048, 1 << 20, 8, 1 << 16
@@ -131,7 +131,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     v = v.withColumns({"good": good, "h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(77), "vector")})
     classes = v.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
     classes = classes.select("h1", "h2", "rep", "size", F.size("vector").alias("dim"), "vector")
-    classes = stage(classes.mapInPandas(_pack, "h1 long, h2 long, rep long, size long, dim int, vector binary"), "vectors")
+    classes = stage(classes.transform(mapped, _pack, "h1 long, h2 long, rep long, size long, dim int, vector binary"), "vectors")
     counts = classes.groupBy("dim").count().collect()  # a row for each length of vectors
     n_blocks = {r["dim"]: -(-r["count"] // max(1, min(BLOCK, NUMBERS // r["dim"]))) for r in counts}
     folder, width = staging_path(spark, "blocks"), F.broadcast(spark.createDataFrame(list(n_blocks.items()), "dim int, n_blocks int"))
@@ -141,7 +141,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     n_units = sum(-(-(k + 1) // WINDOW) for n in n_blocks.values() for k in range(n))
     tasks = max(1, min(n_units, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_units // WINDOW)))
     units = written.select("dim", "block", F.explode(F.sequence(F.lit(0), F.col("block"), F.lit(WINDOW))).alias("first")).repartition(tasks)
-    found = stage(units.mapInPandas(_compare(folder, absent, cosine, WINDOW), "a long, b long, near long"), "found")
+    found = stage(units.transform(mapped, _compare(folder, absent, cosine, WINDOW), "a long, b long, near long"), "found")
     comps = components(found.where("b is not null").select("a", "b"))
     members = classes.select("h1", "h2", "rep", "size").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counted = found.where("near is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("near").alias("near"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BROADCAST_ROWS, stage
+from blockloom.llm.common import BROADCAST_ROWS, mapped, stage
 from blockloom.llm.urls import host_of, path_of
 
 LEAST_PAGES, MOST_SHARE = 5, 0.3
@@ -225,9 +225,9 @@ def _located(pages: DataFrame, *columns: str) -> DataFrame:
 def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per host the hashes of its template's subtrees, and per leaf those of its directories besides; their number is bounded by what a page has, over MOST_SHARE, for each host or directory."""
     x = _located(pages)
-    placed = x.select("leaf", "host", "path").mapInPandas(_placed, "leaf string, place long, top boolean")
+    placed = x.select("leaf", "host", "path").transform(mapped, _placed, "leaf string, place long, top boolean")
     sizes = placed.groupBy("place").agg(F.count("*").alias("pages"))
-    found = x.select("host", "path", "html").mapInPandas(_hashes, "host string, place long, top boolean, hash long").groupBy("host", "place", "top", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    found = x.select("host", "path", "html").transform(mapped, _hashes, "host string, place long, top boolean, hash long").groupBy("host", "place", "top", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     found = stage(found.join(sizes, "place").where(F.col("n") >= MOST_SHARE * F.col("pages")).select("host", "place", "top", "hash"), "templates")
     whole = found.where("top")
     parts = found.where("not top").join(whole.select("host", "hash"), ["host", "hash"], "left_anti").groupBy("place").agg(F.collect_list("hash").alias("part"))
@@ -253,4 +253,4 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = _located(pages, "page_id", "url")
     rows = _with(_with(rows, whole, "host", "template"), leaves, "leaf", "more").select("page_id", "url", "html", "template", "more")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.transform(mapped, run, f"page_id {kind}, url string, text string, n_chars long")

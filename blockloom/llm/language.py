@@ -8,7 +8,7 @@ map; ridge regression on it, one language against the rest, gives weights.
 Both fold into one matrix, so a batch of texts is scored by two products.
 
 Training takes a sample of about PER_LANGUAGE rows of each language by a hash
-of their ids; counts of rows by language are over all of them. Every language
+of id and text, twice as many at most; counts of rows by language are over all of them. Every language
 is learnt, and the sample goes past the driver in batches. From MOST_LANDMARKS /
 LANDMARKS (200) languages on each has fewer landmarks, one at least, so that the
 model stays in memory. Every text is scored whole.
@@ -29,10 +29,10 @@ from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BROADCAST_ROWS, discard, fold, stage
+from blockloom.llm.common import BROADCAST_ROWS, discard, fold, mapped, stage
 
 DIMENSIONS, LONGEST, LANDMARKS, PER_LANGUAGE, RIDGE, BATCH, MOST_LANDMARKS = 1 << 14, 4, 48, 400, 1e-2, 64, 9600
 UNKNOWN = "und"
@@ -125,9 +125,11 @@ def fit(docs: DataFrame, held: int = 2, of: int = 4) -> KernelModel:
     learnt = docs.where("lang is not null").where(fold(F.col("doc_id"), of) != held)
     counts = learnt.groupBy("lang").count()
     sizes = {r["lang"]: r["count"] for r in counts.collect()}  # a row for each language
-    ticket = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    some = learnt.join(F.broadcast(counts) if len(sizes) <= BROADCAST_ROWS else counts, "lang").where(ticket * F.col("count") < PER_LANGUAGE)
-    some = stage(some.select("doc_id", "text", "lang"), "languages")
+    # by a hash of id and text; rows with the same ones share it, so the rank bounds what they add
+    ticket = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    some = learnt.withColumn("_ticket", ticket).join(F.broadcast(counts) if len(sizes) <= BROADCAST_ROWS else counts, "lang").where(F.col("_ticket") * F.col("count") < PER_LANGUAGE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_ticket", "doc_id"))
+    some = stage(some.withColumn("_rank", rank).where(F.col("_rank") <= 2 * PER_LANGUAGE).select("doc_id", "text", "lang"), "languages")
     seen = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
     ordered = some.orderBy(F.asc_nulls_last("doc_id"), "lang")
     model = KernelModel.fit(lambda: ((r["text"], r["lang"]) for r in ordered.toLocalIterator()), seen)
@@ -144,7 +146,7 @@ def identified(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), BATCH):
                 rows = batch.iloc[at : at + BATCH]
                 names, score = model.value.predict(list(rows["text"]))
-                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "lang_pred": names, "score": score})
+                yield rows[["doc_id", "held_out"]].assign(lang_pred=names, score=score)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text").transform(mapped, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

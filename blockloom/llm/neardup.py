@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BROADCAST_ROWS, discard, only_ids, stage
+from blockloom.llm.common import BROADCAST_ROWS, discard, mapped, only_ids, stage
 from blockloom.llm.components import components
 from blockloom.llm.shingles import mix, shingle_set
 
@@ -78,7 +78,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 out.append((doc_id, len(x), c1, c2, _minima(x) if len(x) else None, (x[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "c1", "c2", "sig", "sketch"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).transform(mapped, run, SIGNED)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -101,7 +101,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), ids, "doc_id")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return with_a.select("a", "b", "text_a", "text_b").transform(mapped, run, "a long, b long")
 
 
 def _alike(percent: int):
@@ -216,7 +216,7 @@ class _Join:
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"), "rep", "comp", "size", "sig", "sketch", "lists")
-        return rows.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y").mapInPandas(_near(self.least, self.percent), "a long, b long")
+        return rows.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y").transform(mapped, _near(self.least, self.percent), "a long, b long")
 
     def link(self, pairs: DataFrame) -> bool:
         """Adds the pairs that agree in enough minima and whose sets are similar enough; whether there are any."""

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import stage
+from blockloom.llm.common import mapped, stage
 from blockloom.llm.tokens import encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -55,7 +55,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
                         out.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).transform(mapped, pieces, PIECES)
 
 
 class Bins:
@@ -197,7 +197,7 @@ def _evolved(items: DataFrame, capacity: int) -> DataFrame:
     """items: block, key, length. The winning packing of each block, one row a block."""
     blocks = items.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("x"))
     blocks = blocks.select("block", F.col("x.key").alias("keys"), F.col("x.length").cast("array<int>").alias("lengths"), F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
-    state = blocks.repartition("block", "island").mapInPandas(_epoch(True, capacity), STATE)
+    state = blocks.repartition("block", "island").transform(mapped, _epoch(True, capacity), STATE)
     for _ in range(EPOCHS - 1):
         state = state.groupBy("block", "island").applyInPandas(_epoch(False, capacity), STATE)
     return state.groupBy("block").agg(F.min_by(F.struct("keys", "lengths", "bins"), F.struct("n_bins", "fill", "island")).alias("w")).select("block", "w.*")
@@ -234,9 +234,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     n_blocks = max(1, round(part.count() / BLOCK))
     items = part.select(F.pmod(F.xxhash64("_key"), F.lit(n_blocks)).alias("block"), F.col("_key").alias("key"), "length")
     schema = "block long, key long, sequence_id long, offset long"
-    first = stage(_evolved(items, capacity).mapInPandas(_placed(capacity, RELEASE if n_blocks > 1 else 0, 0), schema), "packed")
+    first = stage(_evolved(items, capacity).transform(mapped, _placed(capacity, RELEASE if n_blocks > 1 else 0, 0), schema), "packed")
     again = first.where("sequence_id is null").select(F.expr(f"block div {JOINED}").alias("block"), "key", F.col("offset").alias("length"))
-    second = _evolved(again, capacity).mapInPandas(_placed(capacity, 0, 1), schema)
+    second = _evolved(again, capacity).transform(mapped, _placed(capacity, 0, 1), schema)
     at = first.where("sequence_id is not null").unionByName(second).select(F.col("key").alias("_key"), "sequence_id", "offset")
     full = held.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("_key"), "offset": F.lit(0).cast("long")})
     return full.unionByName(held.where(F.col("length") < capacity).join(at, "_key")).drop("_key")

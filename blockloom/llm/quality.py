@@ -9,7 +9,8 @@ JVM beside the scan.
 
 Defined cases: a null or empty text has statistics of 0 and a score; rows
 without label, or with a null one, aren't learnt from; of several labels for
-one doc_id the highest counts; with no labels, or one value only, the score is
+one doc_id the highest counts, and of repeats of a labelled document the least
+statistics; with no labels, or one value only, the score is
 the share of ones (0.5 of none); repeated rows are scored again; empty tables
 give no rows. Only the text is read for a score.
 """
@@ -174,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3) -> RuleE
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     some = y.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)  # so many rows of two numbers at most
     stats = statistics(F.col("text"))
-    rows = known.join(F.broadcast(some), "_id").select("_id", "_y", *[c.alias(k) for k, c in stats.items()]).orderBy("_id").toPandas()
+    rows = known.join(F.broadcast(some), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min(F.struct(*[c.alias(k) for k, c in stats.items()])).alias("_s"))
+    rows = rows.select("_id", "_y", "_s.*").orderBy("_id").toPandas()  # a row for each label taken, however often its document is repeated
     return RuleEnsemble.fit(rows[list(stats)].to_numpy(float), rows["_y"].to_numpy(float), list(stats))
 
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BROADCAST_ROWS, delete, discard, only_ids, read_file, stage, staging_path, write_file
+from blockloom.llm.common import BROADCAST_ROWS, delete, discard, mapped, only_ids, read_file, stage, staging_path, write_file
 from blockloom.llm.shingles import windows, word_hashes, words
 
 WIDTH, CHUNK_WORDS, MOST_RUNS, BATCHES = 13, 1_500_000, 2, 5
@@ -255,7 +255,7 @@ class FingerprintIndex:
 
     def _add(self, docs: DataFrame, new: str | None, compact: bool) -> DataFrame:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
-        found = rows.mapInPandas(_fingerprint(self.width, self.buckets, uuid.uuid4().hex), ROWS)
+        found = rows.transform(mapped, _fingerprint(self.width, self.buckets, uuid.uuid4().hex), ROWS)
         none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ROWS.split(", ")[2:]]
         all_buckets = self.spark.range(self.buckets).select(F.lit(1).alias("kind"), F.col("id").cast("int").alias("bucket"), *none)
         return stage(found.unionByName(all_buckets).groupBy("bucket").applyInPandas(_merge(self.runs, new, compact), ROWS), "flags")
@@ -300,7 +300,7 @@ def _partly(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The kept words of the texts that lose some, but not all; one row for each doc_id and text."""
     some = judged.where("0 < n_removed and n_removed < n_words").select("doc_id", "text_key", "ranges").groupBy("doc_id", "text_key").agg(F.min("ranges").alias("ranges"))
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text")), some.select("doc_id").distinct(), "doc_id")
-    return some.join(texts.dropDuplicates(["doc_id", "text_key"]), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ranges").mapInPandas(_without, "doc_id long, text_key long, kept string")
+    return some.join(texts.dropDuplicates(["doc_id", "text_key"]), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "ranges").transform(mapped, _without, "doc_id long, text_key long, kept string")
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BROADCAST_ROWS, stage
+from blockloom.llm.common import BROADCAST_ROWS, mapped, stage
 
 LONGEST, SEED_COUNT, PRIOR_BLOCK, MEMO_ROWS = 20, 50, 0.2, 200_000
 #: Fixed values of the contract: verdict and rule (host, then path).
@@ -132,14 +132,14 @@ def _judged_by_join(rows: DataFrame, counted: DataFrame, seeds: Counter, compoun
             yield pd.DataFrame({"names": batch["names"], "judged": [bayes.best([w for part in parts if part["words"] is not None for w in part["words"]]) for parts in batch["parts"]]})
 
     planted = spark.createDataFrame([(w, SEED_COUNT * n) for w, n in seeds.items()], "token string, count long")
-    words = stage(counted.mapInPandas(words_only, "token string, count long").unionByName(planted).groupBy("token").agg(F.sum("count").alias("count")), "words")
+    words = stage(counted.transform(mapped, words_only, "token string, count long").unionByName(planted).groupBy("token").agg(F.sum("count").alias("count")), "words")
     total = words.agg(F.sum("count")).first()[0]
-    rows = rows.mapInPandas(_listed, rows.schema.simpleString()[7:-1] + ",names:string")
+    rows = rows.transform(mapped, _listed, rows.schema.simpleString()[7:-1] + ",names:string")
     each = rows.where("names is not null").select("names").distinct().select("names", F.posexplode(F.split("names", " ")).alias("pos", "name"))
-    found = each.select("name").distinct().mapInPandas(substrings, "name string, token string").join(words, "token", "left")
+    found = each.select("name").distinct().transform(mapped, substrings, "name string, token string").join(words, "token", "left")
     known = found.groupBy("name").agg(F.collect_list(F.when(F.col("count").isNotNull(), F.struct("token", "count"))).alias("known"))
-    lists = each.join(known.mapInPandas(segmented, "name string, words array<string>"), "name", "left").groupBy("names").agg(F.sort_array(F.collect_list(F.struct("pos", "words"))).alias("parts"))
-    out = rows.join(lists.mapInPandas(verdicts, "names string, judged string"), "names", "left")
+    lists = each.join(known.transform(mapped, segmented, "name string, words array<string>"), "name", "left").groupBy("names").agg(F.sort_array(F.collect_list(F.struct("pos", "words"))).alias("parts"))
+    out = rows.join(lists.transform(mapped, verdicts, "names string, judged string"), "names", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "judged").alias("verdict"))
 
 
@@ -171,4 +171,4 @@ def judged(pages: DataFrame, rules=RULES, block: list[str] = SEED_BLOCK, allow:
             yield batch.assign(verdict=out)
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return rows.transform(mapped, run, f"page_id {kind}, host string, path string, rule string, verdict string")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import read_file, stage, staging_path, write_file
+from blockloom.llm.common import mapped, read_file, stage, staging_path, write_file
 from blockloom.llm.tokens import encoder
 
 MAGIC, CHUNK_BITS, SHARD_TOKENS, END_ID = b"BLWM0001", 1 << 16, 4_000_000, 0
@@ -181,7 +181,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int = SHAR
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return stage(rows.mapInPandas(shards, MANIFEST), "manifest")
+    return stage(rows.transform(mapped, shards, MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def read(manifest: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("part", "shard", "path", inside.alias("inside")).join(F.broadcast(parts), "part").select("path", (F.col("before") + F.col("inside")).alias("first"))
-    return files.repartition(max(1, min(manifest.count(), 20_000)), "path").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, min(manifest.count(), 20_000)), "path").transform(mapped, documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
