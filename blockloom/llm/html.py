@@ -1,27 +1,38 @@
 """HTML extraction with site template removal (operator 5).
 
-Each page's elements are hashed as subtrees: name, text and the hashes of
-what is inside. Spark counts in how many pages of a host, and of each directory
-of its paths, each hash occurs; subtrees that occur in MOST_SHARE of the pages
-of a host or directory, and in LEAST_PAGES at least, are its template and are
-deleted from its pages. What
-hides from that count because it differs from page to page is named by its
-element or class: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments go. Text blocks (paragraphs, headings and the
-like) inside an ``article`` or ``main`` element are the page's own, whether or
-not they recur. A page with an article gives the articles' text; one without,
-what is left of its body.
+Each page's elements are hashed as subtrees, in two ways: with their words
+(name, text and what is inside), and by shape (names, classes and the shapes
+inside, runs of equal ones as one; no words) together with the place in the
+page. Spark counts in how many pages of a host, and of each directory of its
+paths, each hash occurs. What occurs in MOST_SHARE of the pages of a host or
+directory, and in LEAST_PAGES at least, is its template:
+
+- subtrees with the same words are deleted wherever they stand;
+- of shapes, the words may differ from page to page, as in menus and adverts.
+  The container that has most of the running text (not of links), once a page,
+  over all pages of the host, is its content; containers of recurring shape
+  beside it are deleted. ``article`` and ``main`` elements, and what holds them,
+  are never deleted by shape.
+
+Hosts with few pages have no such template, and inside the content shapes say
+nothing. There, elements and classes are named: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and comments go. Text
+blocks (paragraphs, headings and the like) inside an ``article`` or ``main``
+element are the page's own, whether or not they recur. A page with an article
+gives the articles' text; one without, what is left of its body.
 
 Defined cases: null or empty html gives an empty text; a null url belongs to
 the host ''; a repeated row counts as another page; unclosed and stray tags
-are read leniently, as browsers do; empty tables give no rows; whole pages are
-read, whatever their length. Other columns are not looked at.
+are read leniently, as browsers do, in time linear in the page, however deep
+it is nested; empty tables give no rows; whole pages are read, whatever their
+length. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,11 +44,15 @@ from blockloom.llm.common import BROADCAST_ROWS, mapped, stage
 from blockloom.llm.urls import host_of, path_of
 
 LEAST_PAGES, MOST_SHARE = 5, 0.3
+#: The content has this share of the running text, and occurs so often in a page at most, on average.
+CONTENT_SHARE, ONCE = 0.5, 1.2
 #: Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg"}
 GONE = {*RAW, "head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video", "math", "input", "label", "fieldset"}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold the whole page or its article.
+WHOLE = {"#root", "html", "body", "article", "main", "head"}
 OWN = set("p h1 h2 h3 h4 h5 h6 pre blockquote li ul ol dl dt dd table thead tbody tr td th figure figcaption".split())
 ENDS_P = BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "legend"}
 #: An element of these names ends an open one of those names, up to the nearest of the third.
@@ -51,10 +66,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("gone", "hash", "inside", "kids", "name")
+    __slots__ = ("gone", "hash", "holds", "inside", "kids", "label", "name", "path", "shape", "size", "slot")
 
-    def __init__(self, name: str, gone: bool = False, inside: bool = False):
-        self.name, self.gone, self.inside, self.kids, self.hash = name, gone, inside, [], 0
+    def __init__(self, name: str, gone: bool = False, inside: bool = False, label: str = ""):
+        self.name, self.gone, self.inside, self.label, self.kids = name, gone, inside, label or name, []
+        self.hash = self.shape = self.path = self.slot = self.size = 0
+        self.holds = False
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
@@ -70,21 +87,37 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def parse(text: str) -> Node:
-    """A page as a tree; texts are kept as they stand."""
+def _label(name: str, attributes: str) -> str:
+    """The name with its classes, id and role, numbers aside."""
+    if not attributes.strip(" /"):
+        return name
+    words = sorted({w for key, *values in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role") for v in values for w in _PARTS.split(v.lower()) if w})
+    return " ".join((name, *words))
+
+
+def parse(text: str, names: bool = True) -> Node:
+    """A page as a tree; texts are kept as they stand. names: unwanted elements and classes are marked."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(text)
+    stack, at, n, opened = [root], 0, len(text), Counter()
+    last = text.rfind(">")  # beyond it there are no tags
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.name] -= 1
+        del stack[k:]
 
     def close(names: set[str], until: set[str]) -> None:
+        if not any(opened[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].name in until:
                 return
 
     while at < n:
-        m = _TAG.search(text, at)
+        m = _TAG.search(text, at) if at <= last or "<!" in text[at:] else None
         if not m:
             stack[-1].kids.append(text[at:])
             break
@@ -95,9 +128,7 @@ def parse(text: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and not any(x.name == "p" for x in stack):
-                continue
-            if any(x.name == name for x in stack[1:]):
+            if opened[name]:
                 close({name}, set() if name in BLOCKS else BLOCKS)
             continue
         if name in ENDS_P:
@@ -105,7 +136,7 @@ def parse(text: str) -> Node:
         if name in SIBLINGS:
             close(*SIBLINGS[name])
         inside = stack[-1].inside or name in ("article", "main")
-        node = Node(name, _unwanted(name, m[3], stack[-1].inside), inside)
+        node = Node(name, (name in RAW or name == "head") if not names else _unwanted(name, m[3], stack[-1].inside), inside, _label(name, m[3]))
         stack[-1].kids.append(node)
         if name in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
@@ -113,6 +144,7 @@ def parse(text: str) -> Node:
             at = end.end() if end else n
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[name] += 1
     return root
 
 
@@ -120,47 +152,111 @@ def plain(text: str) -> str:
     return " ".join(html.unescape(text).split()) if "&" in text else " ".join(text.split())
 
 
-def subtrees(node: Node) -> list[Node]:
-    """The elements that a template may hold, hashed; innermost first."""
-    out: list[Node] = []
+def _order(root: Node) -> list[Node]:
+    """All elements, outer ones first."""
+    out, todo = [], [root]
+    while todo:
+        out.append(x := todo.pop())
+        todo.extend(k for k in reversed(x.kids) if not isinstance(k, str))
+    return out
+
 
-    def walk(x: Node) -> int:
-        h = xxhash.xxh3_64(x.name)
-        for kid in x.kids:
-            if isinstance(kid, str):
-                if kid and not kid.isspace():
-                    h.update(plain(kid).encode("utf-8", "replace"))
+def hashed(root: Node) -> list[Node]:
+    """All elements, outer ones first, with hashes of words, shape, path and slot, and the running text that each holds."""
+    order = _order(root)
+    root.path = xxhash.xxh3_64_intdigest(b"path")
+    for x in order:
+        for k in x.kids:
+            if not isinstance(k, str):
+                k.path = xxhash.xxh3_64_intdigest(k.label.encode("utf-8", "replace"), x.path)
+    for x in reversed(order):
+        words, shape, last, x.size, x.holds = xxhash.xxh3_64(x.name), xxhash.xxh3_64(x.label.encode("utf-8", "replace"), 1), None, 0, x.name in ("article", "main")
+        for k in x.kids:
+            if isinstance(k, str):
+                if k and not k.isspace():
+                    words.update((text := plain(k)).encode("utf-8", "replace"))
+                    x.size += len(text)
             else:
-                h.update(walk(kid).to_bytes(8, "little"))
-        x.hash = h.intdigest()
-        whole = x.name in ("#root", "html", "body", "article", "main", "head")
-        if not whole and x.name in BLOCKS and x.kids and not (x.inside and x.name in OWN):
-            out.append(x)
-        return x.hash
-
-    walk(node)
-    return out
+                words.update(k.hash.to_bytes(8, "little"))
+                if k.shape != last:
+                    shape.update(k.shape.to_bytes(8, "little"))
+                last, x.size, x.holds = k.shape, x.size + k.size, x.holds or k.holds
+        if x.gone or x.name == "a":
+            x.size = 0
+        x.hash, x.shape = words.intdigest(), shape.intdigest()
+        x.slot = xxhash.xxh3_64_intdigest(x.shape.to_bytes(8, "little"), x.path)
+    return order
+
+
+def _container(x: Node) -> bool:
+    return x.name in BLOCKS and x.name not in OWN
+
+
+def _same_words(x: Node) -> bool:
+    """Whether an element may be deleted for its words."""
+    return x.name not in WHOLE and x.name in BLOCKS and bool(x.kids) and not (x.inside and x.name in OWN)
+
+
+def _same_shape(x: Node) -> bool:
+    """Whether an element may be deleted for its shape."""
+    return x.name not in WHOLE and _container(x) and bool(x.kids) and not x.inside and not x.holds
+
+
+def evidence(root: Node) -> list[tuple[int, int, float, int, int]]:
+    """Per hash: kind (0 words, 1 slot, 2 path of a container), hash, share of the page's running text, how often, depth."""
+    order = hashed(root)
+    depth, total = {id(root): 0}, max(root.size, 1)
+    out: dict[tuple[int, int], list] = {}
+    for x in order:
+        for k in x.kids:
+            if not isinstance(k, str):
+                depth[id(k)] = depth[id(x)] + 1
+        kinds = [(0, x.hash)] if _same_words(x) else []
+        if _same_shape(x):
+            kinds.append((1, x.slot))
+        if _container(x) and x.size:
+            kinds.append((2, x.path))
+        for key in kinds:
+            row = out.setdefault(key, [0.0, 0, depth[id(x)]])
+            row[0] += x.size / total
+            row[1] += 1
+    return [(kind, signed(h), share, times, at) for (kind, h), (share, times, at) in out.items()]
 
 
 def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _by_shape(order: list[Node], template: set[int]) -> None:
+    """Deletes containers of a recurring shape beside the content, if the page has the host's content."""
+    content = [x for x in order if _container(x) and signed(x.path) in template]
+    if not content:
+        return
+    keep, above = {id(y) for x in content for y in _order(x)}, {id(x) for x in content}
+    for x in reversed(order):  # what holds the content stays too
+        if any(id(k) in above for k in x.kids):
+            above.add(id(x))
+            x.holds = True
+    for x in order:
+        if id(x) not in keep and not x.holds and _same_shape(x) and signed(x.slot) in template:
+            x.gone = True
+
+
 def extract(root: Node, template: set[int]) -> str:
     """The text of the blocks that are left."""
-    for x in subtrees(root) if template else ():
-        x.gone |= signed(x.hash) in template
+    if template:
+        order = hashed(root)
+        for x in order:
+            x.gone |= _same_words(x) and signed(x.hash) in template
+        _by_shape(order, template)
     mains: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def seek(x: Node) -> None:
-        for kid in x.kids:
-            if not isinstance(kid, str) and not kid.gone:
-                if kid.name in mains:
-                    mains[kid.name].append(kid)
-                if kid.name != "article":
-                    seek(kid)
-
-    seek(root)
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if x.name in mains:
+            mains[x.name].append(x)
+        if x.name != "article":
+            todo.extend(k for k in reversed(x.kids) if not isinstance(k, str) and not k.gone)
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -170,24 +266,21 @@ def extract(root: Node, template: set[int]) -> str:
                 blocks.append(text)
             parts.clear()
 
-    def walk(x: Node) -> None:
-        for kid in x.kids:
-            if isinstance(kid, str):
-                parts.append(html.unescape(kid) if "&" in kid else kid)
-            elif kid.gone:
-                parts.append(" ")
-            elif kid.name == "br":
-                parts.append(" ")
-            elif kid.name in BLOCKS:
-                end()
-                walk(kid)
+    for top in mains["article"] or mains["main"] or [root]:
+        todo: list = [top]
+        while todo:
+            x = todo.pop()
+            if x is None:
                 end()
+            elif isinstance(x, str):
+                parts.append(html.unescape(x) if "&" in x else x)
+            elif (x.gone and x is not top) or x.name == "br":
+                parts.append(" ")
             else:
-                walk(kid)
-
-    for x in mains["article"] or mains["main"] or [root]:
-        walk(x)
-        end()
+                if x is top or x.name in BLOCKS:
+                    end()
+                    todo.append(None)
+                todo.extend(reversed(x.kids))
     return "\n".join(blocks)
 
 
@@ -201,13 +294,14 @@ def places(host: str, path: str) -> list[int]:
     return out
 
 
-def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["host", "place", "top", "kind", "hash", "share", "times", "depth"]
     for batch in batches:
         rows = []
         for host, path, page in zip(batch["host"], batch["path"], batch["html"], strict=True):
-            hashes = {signed(x.hash) for x in subtrees(parse(page))}
-            rows += [(host, place, not k, h) for k, place in enumerate(places(host, path)) for h in hashes]
-        yield pd.DataFrame(rows, columns=["host", "place", "top", "hash"])
+            found = evidence(parse(page))
+            rows += [(host, place, not k, *f) for k, place in enumerate(places(host, path)) for f in found]
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,8 +321,13 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = _located(pages)
     placed = x.select("leaf", "host", "path").transform(mapped, _placed, "leaf string, place long, top boolean")
     sizes = placed.groupBy("place").agg(F.count("*").alias("pages"))
-    found = x.select("host", "path", "html").transform(mapped, _hashes, "host string, place long, top boolean, hash long").groupBy("host", "place", "top", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    found = stage(found.join(sizes, "place").where(F.col("n") >= MOST_SHARE * F.col("pages")).select("host", "place", "top", "hash"), "templates")
+    schema = "host string, place long, top boolean, kind int, hash long, share double, times int, depth int"
+    found = x.select("host", "path", "html").transform(mapped, _evidence, schema, 200).groupBy("host", "place", "top", "kind", "hash")
+    found = found.agg(F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("share"), F.avg("times").alias("times"), F.min("depth").alias("depth")).where(F.col("n") >= LEAST_PAGES)
+    found = found.join(sizes, "place").where(F.col("n") >= MOST_SHARE * F.col("pages"))
+    # of the containers that have most of the text, the innermost is the content of its host or directory
+    content = found.where((F.col("kind") == 2) & (F.col("share") >= CONTENT_SHARE) & (F.col("times") <= ONCE)).groupBy("host", "place", "top").agg(F.max_by("hash", F.struct("depth", "share", "hash")).alias("hash"))
+    found = stage(found.where("kind < 2").select("host", "place", "top", "hash").unionByName(content), "templates")
     whole = found.where("top")
     parts = found.where("not top").join(whole.select("host", "hash"), ["host", "hash"], "left_anti").groupBy("place").agg(F.collect_list("hash").alias("part"))
     leaves = placed.where("not top").select("leaf", "place").distinct().join(parts, "place").groupBy("leaf").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("part")))).alias("more"))
@@ -253,4 +352,4 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = _located(pages, "page_id", "url")
     rows = _with(_with(rows, whole, "host", "template"), leaves, "leaf", "more").select("page_id", "url", "html", "template", "more")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.transform(mapped, run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.transform(mapped, run, f"page_id {kind}, url string, text string, n_chars long", 200)

@@ -2,6 +2,7 @@
 
 import html as html_lib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -400,3 +401,51 @@ def test_pipeline(spark):
     assert set(rows[4]) < set(rows[3]) <= set(rows[2])
     out = corpus_pipeline.run(spark, SF).collect()
     check_packing(sorted(rows[4].items()), out, 2048)
+
+
+def words_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def test_templates_by_shape_where_words_differ(spark):
+    """No element or class here has a listed name; the content is found by its share of the running text."""
+    rng = random.Random(2)
+    rows, want = [], {}
+    for k in range(30):
+        host = "big.example.org" if k < 24 else f"h{k}.example.org"
+        title, body = words_of(rng, 4), [words_of(rng, 30) for _ in range(2 + k % 3)]
+        top, side = words_of(rng, 3), words_of(rng, 6)
+        content = f"<div class='c'><h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body) + "</div>"
+        rows.append((k, f"http://{host}/{k}", f"<html><body><div class='t{k}'><a href='/x'>{top}</a></div><div>{content}<div class='s'><div>{side}</div></div></div></body></html>"))
+        want[k] = "\n".join([title, *body] if k < 24 else [top, title, *body, side])
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_templates_of_the_table_need_no_names(spark):
+    """On hosts with enough pages, what templates leave is the article, without names and without picking it."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").where("html is not null")
+    pages = pages.unionByName(pages).unionByName(pages)  # every host has a few pages
+    whole, leaves = html.templates(pages)
+    known = {r["host"]: set(r["template"]) for r in whole.collect()}
+    checked = 0
+    for url, page, text in html.extracted(pages.distinct()).join(pages.select("page_id", "html").distinct(), "page_id").select("url", "html", "text").collect():
+        template = known.get(url.split("://")[1].split("/")[0], set())
+        root = html.parse(page, names=False)
+        order = html.hashed(root)
+        html._by_shape(order, template)
+        for x in order:
+            x.name = "div" if x.name == "article" else x.name
+        if any(html.signed(x.path) in template for x in order):
+            assert html.extract(root, set()) == text
+            checked += 1
+    assert checked > 5
+
+
+def test_deep_and_unclosed_tags_take_linear_time():
+    begin = time.process_time()
+    assert html.extract(html.parse("<div>" * 50_000 + "x"), {1}) == "x"
+    assert html.extract(html.parse("<p>a</p>" + "<a " * 50_000), {1}).startswith("a\n<a")
+    assert html.extract(html.parse("<b>x" * 20_000 + "</b>" * 20_000), {1}) == "x" * 20_000
+    html.evidence(html.parse("<div><p>" * 20_000))
+    assert time.process_time() - begin < 20
