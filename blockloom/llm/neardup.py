@@ -51,6 +51,8 @@ COORDINATES, SHORT, ROUNDS, PIVOTS = 64, 24, 3, 2
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 #: The smallest shingle hashes of a set that its sketch holds, and the members of a list that are compared with each other at a time.
 SKETCH, BLOCK = 256, 1024
+#: Pairs of one document that a task confirms, and what stands for no id in sorted rows.
+SALT, NONE = 2000, -(1 << 63)
 SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>, sketch binary"
 
 
@@ -82,26 +84,40 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs a, b, those whose full sets are similar enough."""
+    """Of the pairs a, b, those whose full sets are similar enough.
+
+    A text comes once for each of its pairs as the end that has fewer, and once
+    for each SALT pairs as the other; tasks hold one set beside the one they compare.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, kept = None, None
         for batch in batches:
             good = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
+            for a, b, text in zip(batch["a"], batch["b"], batch["text"], strict=True):
+                if b == NONE:
+                    last, kept = a, shingle_set(text, width)
+                    continue
                 if last != a:
-                    last, kept = a, shingle_set(x, width)
-                other = shingle_set(y, width)
+                    raise ValueError(f"the text of {a} is missing")
+                other = shingle_set(text, width)
                 both = len(np.intersect1d(kept, other, assume_unique=True))
                 if 100 * both >= percent * (len(kept) + len(other) - both):
                     good.append((a, b))
             yield pd.DataFrame(good, columns=["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), ids, "doc_id")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").transform(mapped, run, "a long, b long")
+    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "ends")
+    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), ends.select("doc_id"), "doc_id")
+    n_of = lambda c: ends.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"))
+    x, y = (F.struct(F.col(f"n_{c}").alias("n"), F.col(c).alias("id")) for c in "ab")
+    turned = pairs.join(n_of("a"), "a").join(n_of("b"), "b").select(F.greatest(x, y).alias("more"), F.least(x, y).alias("less"))
+    turned = turned.select(F.col("more.n").alias("n"), F.col("more.id").alias("a"), F.col("less.id").alias("b"))
+    salts = F.ceil(F.col("n") / SALT).cast("int")
+    members = turned.withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
+    firsts = ends.join(texts, "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(NONE).alias("b"), "text")
+    firsts = firsts.join(turned.select("a").distinct(), "a", "left_semi")
+    rows = firsts.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+    return rows.select("a", "b", "text").transform(mapped, run, "a long, b long", 500)
 
 
 def _alike(percent: int):
@@ -176,16 +192,25 @@ class _Join:
         self.docs, self.reps, self.width, self.percent, self.least = docs, reps, width, percent, least_matches(percent)
         self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
+        self.held: list[DataFrame] = []
+
+    def _held(self, df: DataFrame, name: str) -> DataFrame:
+        """Staged until the next pairs are found; joins with it read files, so that Spark can split the other side's hot lists."""
+        self.held.append(stage(df, name))
+        return self.held[-1]
 
     def post(self) -> DataFrame:
         """(list, rep, n) for the tokens in each set's prefix that others have too; n: how many sets have the token."""
         tokens = self.reps.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("list"))
         many = tokens.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
         # tokens that no other set has come first in the prefix, and so does each set's smallest number of sets
+        many = stage(many, "tokens")  # joined from files, so that Spark can split frequent tokens
         shared = tokens.join(many, "list").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("t"))
         slots = F.size("t") - self.least + 1
         prefix = shared.where(slots > 0).select("rep", F.explode(F.slice("t", 1, slots)).alias("t"))
-        return stage(prefix.select("t.list", "rep", "t.n"), "postings")
+        out = stage(prefix.select("t.list", "rep", "t.n"), "postings")
+        discard(many)
+        return out
 
     def mixed(self, postings: DataFrame) -> DataFrame:
         """Postings with their component, of the lists that hold more than one."""
@@ -194,7 +219,7 @@ class _Join:
             return x.withColumn("comp", F.col("rep"))
         x = x.join(self.comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         open_ = x.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("list")
-        return x.join(open_, "list", "left_semi")
+        return only_ids(x, self._held(open_, "open"), "list")
 
     def pivots(self, x: DataFrame, most: int, turn: int = 0) -> DataFrame:
         """Pairs of each member with the pivots of its lists, the most frequent of them; later turns take members by hash."""
@@ -204,7 +229,7 @@ class _Join:
         else:
             hub = x.groupBy("rep").agg(F.sum("n").alias("hub"))
             pivot = x.join(hub, "rep").groupBy("list").agg(F.max_by(F.struct("rep", "comp"), F.struct("hub", -F.col("rep"))).alias("pivot"))
-        pivot = pivot.select("list", F.col("pivot.rep").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
+        pivot = self._held(pivot.select("list", F.col("pivot.rep").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")), "pivots")
         pairs = x.join(pivot, "list").where("comp <> pivot_comp").groupBy("rep", "pivot", "comp").agg(F.count("*").alias("met"))
         pairs = pairs.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "pivot")), False), 1, most).alias("p"))
         return pairs.select("rep", F.explode("p.pivot").alias("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
@@ -225,6 +250,8 @@ class _Join:
         x = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, z: s + z)
         close = stage(x.where(agree >= self.least).select("a", "b"), "candidates")
+        while self.held:
+            discard(self.held.pop())
         found = stage(confirm(close, self.docs, self.width, self.percent), "found")
         discard(close)
         self.links = found if self.links is None else self.links.unionByName(found)
@@ -236,9 +263,8 @@ class _Join:
         postings = self.post()
         self.link(self.pivots(self.mixed(postings), PIVOTS))
         for turn in range(1, ROUNDS + 1):
-            rest = stage(self.mixed(postings.where(F.col("n") > SHORT)), "long")
+            rest = self._held(self.mixed(postings.where(F.col("n") > SHORT)), "long")
             some = not rest.isEmpty() and self.link(self.pivots(rest, COORDINATES, turn))
-            discard(rest)
             if not some:
                 break
         self.link(self.between(self.mixed(postings)))
