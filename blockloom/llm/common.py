@@ -22,6 +22,24 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 BROADCAST_ROWS = 500_000
 
 
+#: What empties each memo of a Python worker. Workers go on to other operators' tasks, so only the memo in use is kept.
+_memos: dict[str, Callable[[], None]] = {}
+_used: list[str] = [""]
+
+
+def memo(name: str, clear: Callable[[], None]) -> None:
+    _memos[name] = clear
+
+
+def using(name: str) -> None:
+    """Empties the other memos of this process when another one comes into use."""
+    if _used[0] != name:
+        _used[0] = name
+        for other, clear in _memos.items():
+            if other != name:
+                clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

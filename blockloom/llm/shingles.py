@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from blockloom.llm.common import memo, using
+
 #: Words whose hashes a Python worker keeps; when there are more, it begins anew.
-MEMO_ROWS = 400_000
+MEMO_ROWS = 250_000
 
 
 class _Memo(dict):
@@ -18,6 +20,7 @@ class _Memo(dict):
 
 
 _memo = _Memo()
+memo("words", _memo.clear)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -39,6 +42,7 @@ def words(text: bytes | None, lower: bool = False) -> list[bytes]:
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
+    using("words")
     return np.fromiter(map(_memo.__getitem__, found), np.uint64, len(found))
 
 

@@ -1,7 +1,8 @@
 """Tokenising whole texts with a public tokenizer file, by way of a bounded memo.
 
 Both tokenizer files split a text before each run of white space, and between
-a letter and ASCII punctuation other than the apostrophe, and treat what lies
+a letter and ASCII punctuation other than the apostrophe (except after a capital
+I with a dot, whose lower-case form ends in a combining mark), and treat what lies
 between such places on its own. So a text's ids are those of its pieces one
 after another. The memo keeps the ids of pieces; what is not in it is given to
 the tokenizers library. Its size is bounded: beyond MEMO_ROWS pieces nothing
@@ -15,15 +16,16 @@ import re
 from array import array
 from collections.abc import Iterable
 
-from blockloom.llm.common import WHITE
+from blockloom.llm.common import WHITE, memo, using
 
 #: Pieces that a Python worker keeps, and the longest one that it keeps.
-MEMO_ROWS, MEMO_CHARS = 800_000, 48
-LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", "!-&(-/:-@\\[-`{-~"
+MEMO_ROWS, MEMO_CHARS = 400_000, 48
+LETTER, MARK = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!-&(-/:-@\\[-`{-~"
 PIECE = re.compile(f" [{LETTER}]+(?=[{MARK} ])|[{WHITE}]*(?:[{LETTER}]+(?=[{MARK}])|[{MARK}]+(?=[{LETTER}{WHITE}]|$)|[^{WHITE}]+)|[{WHITE}]+")
 #: What every special token begins with; texts with it go to the library whole.
 SPECIAL = "<|"
 _encoders: dict[str, PieceEncoder] = {}
+memo("tokens", _encoders.clear)
 
 
 class PieceEncoder:
@@ -54,6 +56,7 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """One for each file and worker process."""
+    using("tokens")
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
