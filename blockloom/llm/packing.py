@@ -5,10 +5,19 @@ already. The others are dealt by a hash into blocks of about BLOCK pieces, the
 unit that a task holds. On each block ISLANDS populations evolve apart:
 crossover injects whole well-filled bins of one parent into another, removes
 the bins that hold a piece twice, and best-fits the displaced pieces. After
-each epoch every island sends its elite to the next island of its block. The
-best individual of a block wins; its worst-filled bins, of at most RELEASE
+each epoch every island sends its elite to the next island of its block.
+Populations begin with several heuristics: best fit, longest first; bins that
+are completed one by one with the pair of pieces that fills them best; and best
+fit of pieces that are partly in any order. An island stops when it meets the
+lower bound (all tokens over the capacity), which proves that no packing has
+fewer bins; so where best fit meets it, nothing is left to evolve. Else it goes
+on for GENERATIONS, or until PATIENCE of them bring nothing. ``report`` says
+what evolution saves over best fit.
+
+The best individual of a block wins; its worst-filled bins, of at most RELEASE
 pieces, go on to a second round that joins those of 16 blocks, so that few
-bins stay half empty at any size of the input.
+bins stay half empty at any size of the input. That round begins with the bins
+as they were, so it never needs more.
 
 Defined cases: a null or empty text is the end id alone; a repeated row is
 packed again; an empty table gives no rows; ties are broken by row number;
@@ -32,7 +41,7 @@ from blockloom.llm.tokens import encoder
 
 CAPACITY, END_ID = 2048, 0
 BLOCK, RELEASE, JOINED = 8192, 512, 16
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 5, 3
+ISLANDS, EPOCHS, GENERATIONS, PATIENCE, POPULATION = 2, 2, 30, 6, 6
 #: Bins filled to this share of the capacity are injected whole.
 WELL_FILLED = 0.98
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -96,6 +105,36 @@ class Bins:
             self.free[b] = f - n
             self._index(b)
 
+    def complete(self, items: list[int]) -> None:
+        """Bin by bin: the longest piece that is left, then as long as any fits the pair, or the one piece, that fills the rest best."""
+        left: dict[int, list[int]] = {}
+        for i in items:
+            left.setdefault(self.lengths[i], []).append(i)
+
+        def take(n: int) -> int:
+            i = left[n].pop()
+            if not left[n]:
+                del left[n]
+            return i
+
+        while left:
+            own = [take(max(left))]
+            free = self.capacity - self.lengths[own[0]]
+            while fitting := sorted(n for n in left if n <= free):
+                best, lo, hi = (fitting[-1], 0), 0, len(fitting) - 1
+                while lo <= hi:  # the two ends of the sorted lengths meet
+                    a, b = fitting[lo], fitting[hi]
+                    if a + b > free or (lo == hi and len(left[a]) < 2):
+                        hi -= 1
+                        continue
+                    best = max(best, (a + b, a))
+                    lo += 1
+                n, a = best
+                for x in (n - a, a) if a else (n,):
+                    own.append(take(x))
+                    free -= x
+            self.add_bin(own)
+
     def fitness(self) -> tuple[int, float]:
         """Fewer bins, then fuller ones: smaller is better."""
         return len(self.bins), -sum(((self.capacity - f) / self.capacity) ** 2 for f in self.free)
@@ -148,29 +187,42 @@ def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int
     rng = random.Random(seed)
     least = -(-sum(lengths) // capacity)
     population = [Bins.of(lengths, capacity, e) for e in elites]
-    while len(population) < POPULATION:
-        first = Bins(lengths, capacity)
-        items = list(range(len(lengths)))
-        if population:  # the first is plain best fit, longest first; the others begin with some pieces in any order
-            rng.shuffle(items)
-            for k in range(0, len(items) // 4):
-                first.best_fit([items[k]])
-            items = items[len(items) // 4 :]
-        first.best_fit(items)
-        population.append(first)
+
+    def met() -> bool:
+        return bool(population) and min(len(x.bins) for x in population) <= least
+
+    for start in (Bins.best_fit, Bins.complete):
+        if not met():
+            start(first := Bins(lengths, capacity), list(range(len(lengths))))
+            population.append(first)
+    while len(population) < POPULATION and not met():
+        other, items = Bins(lengths, capacity), list(range(len(lengths)))
+        rng.shuffle(items)
+        for k in items[: len(items) // 4]:
+            other.best_fit([k])
+        other.best_fit(items[len(items) // 4 :])
+        population.append(other)
+    idle = 0
     for _ in range(GENERATIONS):
         population.sort(key=Bins.fitness)
-        if len(population[0].bins) <= least:
+        if met() or idle >= PATIENCE:
             break
-        child = crossover(population[0], population[rng.randrange(1, len(population))], rng)
-        other = crossover(population[rng.randrange(1, len(population))], population[0], rng)
-        population = sorted([*population, child, other], key=Bins.fitness)[:POPULATION]
+        best = population[0].fitness()
+        children = [crossover(population[0], population[rng.randrange(1, len(population))], rng), crossover(population[rng.randrange(1, len(population))], population[0], rng)]
+        population = sorted([*population, *children], key=Bins.fitness)[:POPULATION]
+        idle = 0 if population[0].fitness() < best else idle + 1
     return min(population, key=Bins.fitness)
 
 
 STATE = "block long, island int, keys array<long>, lengths array<int>, bins array<int>, n_bins int, fill double"
 
 
+def _dense(was: list[int]) -> list[int]:
+    """Bins as they were, numbered from 0."""
+    names: dict[int, int] = {}
+    return [names.setdefault(w, len(names)) for w in was]
+
+
 def _epoch(first: bool, capacity: int):
     def run(block: int, island: int, keys, lengths, elites: list) -> list[tuple]:
         n = [int(x) for x in lengths]
@@ -184,7 +236,8 @@ def _epoch(first: bool, capacity: int):
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                yield pd.DataFrame(run(r.block, r.island, r.keys, r.lengths, []), columns=columns)
+                was = [int(w) for w in r.was]
+                yield pd.DataFrame(run(r.block, r.island, r.keys, r.lengths, [_dense(was)] if was[0] >= 0 else []), columns=columns)
 
     def go_on(group: pd.DataFrame) -> pd.DataFrame:
         r = group.iloc[0]
@@ -194,17 +247,38 @@ def _epoch(first: bool, capacity: int):
 
 
 def _evolved(items: DataFrame, capacity: int) -> DataFrame:
-    """items: block, key, length. The winning packing of each block, one row a block."""
-    blocks = items.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("x"))
-    blocks = blocks.select("block", F.col("x.key").alias("keys"), F.col("x.length").cast("array<int>").alias("lengths"), F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
-    state = blocks.repartition("block", "island").transform(mapped, _epoch(True, capacity), STATE)
+    """items: block, key, length, was (the bin that it was in, or -1). The winning packing of each block, one row a block."""
+    blocks = items.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "length", "was"))).alias("x"))
+    blocks = blocks.select("block", F.col("x.key").alias("keys"), F.col("x.length").cast("array<int>").alias("lengths"), F.col("x.was").alias("was"), F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
+    state = blocks.repartition("block", "island").transform(mapped, _epoch(True, capacity), STATE, 1)
     for _ in range(EPOCHS - 1):
         state = state.groupBy("block", "island").applyInPandas(_epoch(False, capacity), STATE)
     return state.groupBy("block").agg(F.min_by(F.struct("keys", "lengths", "bins"), F.struct("n_bins", "fill", "island")).alias("w")).select("block", "w.*")
 
 
+def report(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Per block of the first round: how many bins the lower bound, best fit and evolution have."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                n = [int(x) for x in r.lengths]
+                plain = Bins(n, capacity)
+                plain.best_fit(list(range(len(n))))
+                yield pd.DataFrame([(r.block, len(n), -(-sum(n) // capacity), len(plain.bins), len(set(r.bins)))], columns=["block", "pieces", "lower_bound", "best_fit", "evolved"])
+
+    held = stage(pieces.withColumn("_key", F.monotonically_increasing_id()), "pieces")
+    return _evolved(_items(held, capacity), capacity).transform(mapped, count, "block long, pieces long, lower_bound long, best_fit long, evolved long", 1)
+
+
+def _items(held: DataFrame, capacity: int) -> DataFrame:
+    part = held.where(F.col("length") < capacity)
+    n_blocks = max(1, round(part.count() / BLOCK))
+    return part.select(F.pmod(F.xxhash64("_key"), F.lit(n_blocks)).alias("block"), F.col("_key").alias("key"), "length", F.lit(-1).cast("long").alias("was"))
+
+
 def _placed(capacity: int, release: int, level: int):
-    """Rows of the bins that stay: key, sequence_id, offset; and of what is released, with sequence_id null and its length as offset."""
+    """Rows of the bins that stay: key, sequence_id, offset; and of what is released, with sequence_id null, its length as offset and its bin in was."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,16 +287,16 @@ def _placed(capacity: int, release: int, level: int):
                 packing = Bins.of(lengths, capacity, at)
                 out, left = [], release
                 for b in sorted(range(len(packing.bins)), key=lambda b: (-packing.free[b], b)):
-                    items = packing.bins[b]
+                    items, name = packing.bins[b], ((r.block << 20 | b) << 1) + level
                     if packing.free[b] > 0 and len(items) <= left:
                         left -= len(items)
-                        out += [(r.block, r.keys[i], None, lengths[i]) for i in items]
+                        out += [(r.block, r.keys[i], None, lengths[i], name) for i in items]
                         continue
                     left, offset = 0, 0
                     for i in items:
-                        out.append((r.block, r.keys[i], ((r.block << 20 | b) << 1) + level, offset))
+                        out.append((r.block, r.keys[i], name, offset, name))
                         offset += lengths[i]
-                yield pd.DataFrame(out, columns=["block", "key", "sequence_id", "offset"]).astype({"sequence_id": "Int64"})
+                yield pd.DataFrame(out, columns=["block", "key", "sequence_id", "offset", "was"]).astype({"sequence_id": "Int64"})
 
     return place
 
@@ -230,13 +304,10 @@ def _placed(capacity: int, release: int, level: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces, with length among its columns, and the sequence_id and offset of each."""
     held = stage(pieces.withColumn("_key", F.monotonically_increasing_id()), "pieces")
-    part = held.where(F.col("length") < capacity)
-    n_blocks = max(1, round(part.count() / BLOCK))
-    items = part.select(F.pmod(F.xxhash64("_key"), F.lit(n_blocks)).alias("block"), F.col("_key").alias("key"), "length")
-    schema = "block long, key long, sequence_id long, offset long"
-    first = stage(_evolved(items, capacity).transform(mapped, _placed(capacity, RELEASE if n_blocks > 1 else 0, 0), schema), "packed")
-    again = first.where("sequence_id is null").select(F.expr(f"block div {JOINED}").alias("block"), "key", F.col("offset").alias("length"))
-    second = _evolved(again, capacity).transform(mapped, _placed(capacity, 0, 1), schema)
+    schema = "block long, key long, sequence_id long, offset long, was long"
+    first = stage(_evolved(_items(held, capacity), capacity).transform(mapped, _placed(capacity, RELEASE, 0), schema, 1), "packed")
+    again = first.where("sequence_id is null").select(F.expr(f"block div {JOINED}").alias("block"), "key", F.col("offset").alias("length"), "was")
+    second = _evolved(again, capacity).transform(mapped, _placed(capacity, 0, 1), schema, 1)
     at = first.where("sequence_id is not null").unionByName(second).select(F.col("key").alias("_key"), "sequence_id", "offset")
     full = held.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("_key"), "offset": F.lit(0).cast("long")})
     return full.unionByName(held.where(F.col("length") < capacity).join(at, "_key")).drop("_key")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from blockloom.llm import html, language, packing, quality, tokens, urls, wavelet
 from blockloom.llm import queries as registered
@@ -455,3 +456,38 @@ def test_deep_and_unclosed_tags_take_linear_time():
     assert html.extract(html.parse("<b>x" * 20_000 + "</b>" * 20_000), {1}) == "x" * 20_000
     html.evidence(html.parse("<div><p>" * 20_000))
     assert time.process_time() - begin < 20
+
+
+def test_evolution_needs_fewer_bins_than_best_fit(spark):
+    """Three pieces fill each bin to the last token; best fit, longest first, pairs the wrong ones."""
+    rng, capacity, lengths = random.Random(3), 1000, []
+    for _ in range(60):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(int((capacity - a) / 2.2), int((capacity - a) / 1.9))
+        lengths += [a, b, capacity - a - b]
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long")
+    row = packing.report(pieces, capacity).first()
+    assert row.lower_bound == 60 and row.pieces == 180 and 60 <= row.evolved < row.best_fit - 3
+    start = packing.Bins(lengths, capacity)
+    start.best_fit(rng.sample(range(180), 180))
+    assert len(packing.evolve(lengths, capacity, [start.assignment()], 1).bins) <= len(start.bins)
+    packed = packing.pack(pieces, capacity).collect()
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.doc_id for r in packed) == list(range(180)) and len(bins) <= row.evolved
+    for at in bins.values():
+        total = 0
+        for offset, n in sorted(at):
+            assert offset == total
+            total += n
+        assert total <= capacity
+
+
+def test_complete_fills_bins_with_pairs():
+    b = packing.Bins([60, 21, 19, 50, 30, 20, 40], 100)
+    b.complete(list(range(7)))
+    assert len(b.bins) == 3 and sorted(i for x in b.bins for i in x) == list(range(7))
+    one = packing.Bins([70, 20, 20], 100)
+    one.complete([0, 1, 2])
+    assert sorted(map(len, one.bins)) == [1, 2]
