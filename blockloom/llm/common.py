@@ -20,6 +20,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: A side of a join is broadcast only when it has been counted and has at most so many rows of a few bytes.
 BROADCAST_ROWS = 500_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: What empties each memo of a Python worker. Workers go on to other operators' tasks, so only the memo in use is kept.
@@ -61,9 +62,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors, and is evaluated once."""
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, staging_path(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the result is in files then, so Spark may delete its shuffles at once
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

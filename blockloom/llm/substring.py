@@ -2,7 +2,9 @@
 
 The index is a list of immutable runs in a shared folder. A run has a file for
 each bucket (a range of hash values) with the sorted fingerprints of windows
-of earlier batches. A batch of documents is added so:
+of earlier batches. There are as many buckets as make each one's share about
+BUCKET_BYTES of text; a task holds one bucket at a time. A batch of documents
+is added so:
 
 1. Tasks hash the windows of their documents, sort them, and cut the sorted
    run into buckets. What a task sees twice, it settles itself: only the
@@ -26,7 +28,6 @@ other; empty tables give no rows. Other columns are kept by ``strip``.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 import zlib
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import BROADCAST_ROWS, delete, discard, mapped, only_ids, read_file, stage, staging_path, write_file
 from blockloom.llm.shingles import windows, word_hashes, words
 
-WIDTH, CHUNK_WORDS, MOST_RUNS, BATCHES = 13, 1_500_000, 2, 5
-CHECK_BITS = 16
+WIDTH, CHUNK_WORDS, MOST_RUNS, BATCHES, BUCKET_BYTES = 13, 1_500_000, 2, 5, 16 << 20
+CHECK_BITS = 32
 #: kind 0: the windows of a task's run in a bucket; 1: that the bucket exists; 2: flagged places of a run; 3: the documents of a run.
 ROWS = "kind int, bucket int, run string, a binary, b binary, c binary, d binary"
 _COLUMNS = ["kind", "bucket", "run", "a", "b", "c", "d"]
@@ -90,7 +91,6 @@ def _fingerprint(width: int, buckets: int, batch_name: str):
             counts = np.array([d[2] for d in docs], np.uint32)
             sizes = np.array([len(p[0]) for p in parts], np.int64)
             ends = np.cumsum(sizes)
-            table = (squeeze(ids), squeeze(ends.astype(np.uint32)))
             keys = np.array([d[1] for d in docs], np.int64)
             null = np.array([d[0] is None for d in docs], np.uint8)
             rows.append((3, hash_bucket(name, buckets), name, squeeze(ids), squeeze(counts), squeeze(keys) + null.tobytes(), b"".join(d[3] for d in docs)))
@@ -109,7 +109,9 @@ def _fingerprint(width: int, buckets: int, batch_name: str):
             for b in range(buckets):
                 lo, hi = edges[b], edges[b + 1]
                 if lo < hi:
-                    rows.append((0, b, name, squeeze_sorted(h[lo:hi]), squeeze(check[lo:hi]), squeeze(place[lo:hi]), len(table[0]).to_bytes(4, "little") + table[0] + table[1]))
+                    here = np.unique(np.searchsorted(ends, place[lo:hi], "right"))  # the documents that have windows in this bucket
+                    table = squeeze(ids[here])
+                    rows.append((0, b, name, squeeze_sorted(h[lo:hi]), squeeze(check[lo:hi]), squeeze(place[lo:hi]), len(table).to_bytes(4, "little") + table + squeeze(ends[here].astype(np.uint32))))
             docs, parts, n, k = [], [], 0, k + 1
             return pd.DataFrame(rows, columns=_COLUMNS)
 
@@ -119,7 +121,7 @@ def _fingerprint(width: int, buckets: int, batch_name: str):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 hashes = word_hashes(found) if doc_id is not None else np.zeros(0, np.uint64)
                 docs.append((doc_id, key, len(found), hashlib.sha256(b" ".join(found)).digest()))
-                parts.append((windows(hashes, width), (windows(hashes, width, 1) >> np.uint64(64 - CHECK_BITS)).astype(np.uint16)))
+                parts.append((windows(hashes, width), (windows(hashes, width, 1) >> np.uint64(64 - CHECK_BITS)).astype(np.uint32)))
                 n += len(found) + 8
                 if n >= CHUNK_WORDS:
                     yield flush()
@@ -158,7 +160,7 @@ def _put(path: str, h: np.ndarray, check: np.ndarray) -> None:
 def _get(path: str) -> tuple[np.ndarray, np.ndarray]:
     data = read_file(path)
     n = int.from_bytes(data[:8], "little")
-    return widen_sorted(data[8 : 8 + n], np.uint64), widen(data[8 + n :], np.uint16)
+    return widen_sorted(data[8 : 8 + n], np.uint64), widen(data[8 + n :], np.uint32)
 
 
 def _merge(old: list[str], new: str | None, compact: bool):
@@ -168,12 +170,12 @@ def _merge(old: list[str], new: str | None, compact: bool):
         bucket = int(group["bucket"].iloc[0])
         rows = [r for r in group.itertuples(index=False) if r.kind in (2, 3)]
         runs = group[group.kind == 0].sort_values("run")
-        h, check, place, doc, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        h, check, place, doc, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for k, r in enumerate(runs.itertuples(index=False)):
             n = int.from_bytes(r.d[:4], "little")
             ids, ends = widen(r.d[4 : 4 + n], np.int64), widen(r.d[4 + n :], np.uint32)
             h.append(widen_sorted(r.a, np.uint64))
-            check.append(widen(r.b, np.uint16))
+            check.append(widen(r.b, np.uint32))
             place.append(widen(r.c, np.uint32))
             doc.append(ids[np.searchsorted(ends, place[-1], "right")])
             which.append(np.full(len(place[-1]), k, np.int32))
@@ -234,9 +236,8 @@ def _judge(width: int):
 class FingerprintIndex:
     """Runs of window fingerprints in a shared folder; the number of buckets is fixed when it is made."""
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int | None = None, folder: str | None = None):
-        self.spark, self.width = spark, width
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, width: int = WIDTH, buckets: int = 64, folder: str | None = None):
+        self.spark, self.width, self.buckets = spark, width, buckets
         self.folder = folder or staging_path(spark, "index")
         self.runs: list[str] = []
 
@@ -249,8 +250,6 @@ class FingerprintIndex:
                 for run in self.runs:
                     delete(self.spark, run)
             self.runs = [new] if compact else [*self.runs, new]
-        gc.collect()  # plans that nothing refers to, and with them their shuffle files
-        self.spark._jvm.System.gc()
         return flags
 
     def _add(self, docs: DataFrame, new: str | None, compact: bool) -> DataFrame:
@@ -268,9 +267,9 @@ def text_key():
 def judge(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
     """Per row of docs: JUDGED, staged."""
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, width)
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], F.lit(1000)).alias("q")).first()["q"] or []
-    edges = [None, *sorted(set(cuts)), None]
+    known = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], F.lit(1000)).alias("q"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    index = FingerprintIndex(spark, width, -(-(known["bytes"] or 1) // BUCKET_BYTES))
+    edges = [None, *sorted(set(known["q"] or [])), None]
     flags: list[DataFrame] = []
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         within = F.lit(True) if lo is None and hi is None else F.col("doc_id") > lo if hi is None else (F.col("doc_id") <= hi) & (F.col("doc_id") > lo) if lo is not None else F.col("doc_id") <= hi
