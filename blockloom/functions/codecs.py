@@ -67,6 +67,16 @@ def unpack_record(record: bytes) -> bytes:
     return decompress(record[1:], _NAMES[record[0]])
 
 
+def unpack_any(data: bytes) -> bytes:
+    """A record with a codec byte, unpacked; what isn't one, or can't be unpacked, as it is."""
+    if data and data[0] in _NAMES:
+        try:
+            return unpack_record(data)
+        except Exception:  # noqa: BLE001 - each codec has errors of its own
+            return data
+    return data
+
+
 def statistics(data: bytes) -> list[tuple[str, int, float, float, float]]:
     """codec, size, seconds to compress and back, percent of the original; measured, so never in a value check."""
     out = []
@@ -87,6 +97,13 @@ def pack_udf(codec: str):
     return F.pandas_udf(run, "binary")
 
 
+@F.pandas_udf(T.StructType([T.StructField("format", T.StringType()), T.StructField("data", T.BinaryType())]))
+def detect_udf(record: pd.Series) -> pd.DataFrame:
+    """Whether records are packed or raw, and their data."""
+    rows = [(None, None) if r is None else ("raw" if (d := unpack_any(bytes(r))) == bytes(r) else "packed", d) for r in record]
+    return pd.DataFrame(rows, columns=["format", "data"])
+
+
 @F.pandas_udf(T.BinaryType())
 def unpack_udf(record: pd.Series) -> pd.Series:
     return record.map(unpack_record)

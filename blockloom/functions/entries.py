@@ -108,6 +108,29 @@ def valid_payload_udf(payload: pd.Series) -> pd.Series:
     return payload.map(valid_payload)
 
 
+@F.pandas_udf(T.BooleanType())
+def plausible_payload_udf(payload: pd.Series) -> pd.Series:
+    return payload.map(plausible_payload)
+
+
+def typed_entry(data: bytes) -> str:
+    """storage if an entry of 33 bytes or fewer begins with the RLP form of a number, else account: the guess of logs without kinds."""
+    if not data or len(data) > 33:
+        return "account"
+    if data[0] < 0x80:
+        return "storage" if data[0] else "account"
+    n = data[0] - 0x80
+    if n > 32 or len(data) < 1 + n or (n and data[1] == 0) or (n == 1 and data[1] < 0x80):
+        return "account"
+    return "storage"
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("data", T.BinaryType())])))
+def typed_entries_udf(payload: pd.Series) -> pd.Series:
+    """The entries of a payload with guessed kinds; null if it is corrupt."""
+    return payload.map(lambda p: None if (e := decode_entries(p)) is None else [{"kind": typed_entry(x), "data": x} for x in e])
+
+
 @F.pandas_udf(T.LongType())
 def u64_from_le(data: pd.Series) -> pd.Series:
     return data.map(lambda b: int.from_bytes(b, "little"))

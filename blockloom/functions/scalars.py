@@ -52,6 +52,12 @@ def block_of_file(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"block_(\d+)_reads(?:\.\w+)?$", 1), F.lit("")).cast("long")
 
 
+def log_source(flag: Column) -> Column:
+    """What the value of a record or replay option asks for: all blocks, one block (by number or by a file's name), or nothing known."""
+    number = F.when(flag.rlike(r"^\d+$"), flag.cast("long")).otherwise(block_of_file(flag))
+    return F.struct(F.when(flag == "on", "all").when(number.isNotNull(), "block").otherwise("unknown").alias("mode"), F.when(flag != "on", number).alias("block"))
+
+
 def log_line(kind: Column, address: Column, key: Column, data: Column) -> Column:
     """The line of a text log for one read."""
     storage = F.concat(hexed(address), F.lit(" "), hexed(key), F.lit(", "), hexed(data))

@@ -85,11 +85,12 @@ def offsets(payloads: DataFrame, key: str = "block", length: str = "length", hea
 
 def coalesce_ranges(ranges: DataFrame) -> DataFrame:
     """offset, length: neighbours that touch as one read: begin, bytes, reads."""
-    x = previous(ranges.withColumn("_end", F.col("offset") + F.col("length")), "offset", "_end", "_prior", width=1_000_000)
-    x = running_sum(x, "offset", F.coalesce((F.col("_prior") != F.col("offset")).cast("int"), F.lit(1)), "_island", inclusive=True, width=1_000_000)
+    x = previous(ranges.withColumn("_end", F.col("offset") + F.col("length")), "offset", "_end", "_prior")
+    x = running_sum(x, "offset", F.coalesce((F.col("_prior") != F.col("offset")).cast("int"), F.lit(1)), "_island", inclusive=True)
     return x.groupBy("_island").agg(F.min("offset").alias("begin"), F.sum("length").alias("bytes"), F.count("*").alias("reads")).drop("_island")
 
 
 def split_reads(data: Column, offset: Column, length: Column) -> Column:
-    """A payload out of a larger read."""
-    return F.substring(data, offset + 1, length)
+    """A payload out of a larger read; null if it isn't all there."""
+    part = F.substring(data, offset + 1, length)
+    return F.when(F.length(part) == length, part)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.functions.scalars import ggas_per_s
 from blockloom.operators.tasks import scan, task_of
 
 
@@ -27,6 +28,13 @@ def deltas(ticks: DataFrame, bucket: Column) -> DataFrame:
     return x.withColumns({"blocks_so_far": F.sum("blocks").over(sofar), "gas_so_far": F.sum("gas").over(sofar)})
 
 
+def progress(ticks: DataFrame, bucket: Column) -> DataFrame:
+    """ticks: number, txs, gas. Per second (or other bucket of time) in which blocks were done: the last block, what the bucket adds, Ggas a second, and the totals so far."""
+    x = ticks.groupBy(bucket.alias("bucket")).agg(F.max("number").alias("last"), F.count("*").alias("blocks"), F.sum("txs").alias("txs"), F.sum("gas").alias("gas"))
+    sofar = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each bucket of time
+    return x.select("bucket", F.max("last").over(sofar).alias("block"), "blocks", "txs", ggas_per_s(F.col("gas"), F.lit(1.0)).alias("ggas_per_s"), F.sum("txs").over(sofar).alias("total_txs"), F.sum("gas").over(sofar).alias("total_gas"))
+
+
 def run_stats(runs: DataFrame, n_blocks: int) -> DataFrame:
     """Per mode: mean, extremes and population deviation of seconds, and blocks a second."""
     x = runs.groupBy("mode").agg(F.count("*").alias("runs"), F.avg("seconds").alias("mean"), F.min("seconds").alias("min"), F.max("seconds").alias("max"), F.stddev_pop("seconds").alias("deviation"))

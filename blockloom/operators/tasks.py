@@ -45,6 +45,18 @@ def parent(number: Column) -> Column:
     return F.greatest(number - 1, F.lit(0))
 
 
+def range_error(begin: Column, end: Column, last: Column) -> Column:
+    """What is wrong with a requested range; null if nothing is."""
+    return F.when(begin > end, "begin lies behind end").when(end > last, "end lies beyond the last block")
+
+
+def intervals(spark: SparkSession, begin: int, end: int, interval: int = 1000) -> DataFrame:
+    """The same ranges as ``batches``, as a table: start, end."""
+    check_range(begin, end, interval)
+    at = begin + F.col("id") * interval
+    return spark.range((end - begin) // interval + 1).select(at.alias("start"), F.least(at + interval - 1, F.lit(end)).alias("end"))
+
+
 def batches(begin: int, end: int, interval: int = 1000) -> list[tuple[int, int]]:
     """Inclusive ranges of so many blocks, one after another."""
     check_range(begin, end, interval)

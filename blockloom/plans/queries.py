@@ -350,9 +350,16 @@ def replay_reads(spark, sf):
     return replay.replay(users, logs, _sum_reads, state=known)
 
 
+def _all() -> None:
+    """The other module adds its queries when it is imported."""
+    import blockloom.plans.store_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(ORACLES)

@@ -6,8 +6,6 @@ payload's content is valid). The missing list isn't capped.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +71,11 @@ def rebuild_report(index: DataFrame, data_end: int, begin: int, end: int) -> Dat
 def repair_store(spark: SparkSession, folder: str, begin: int, end: int, compact: bool = True) -> dict:
     """Repairs a v2 store in place and returns the report; compact: the data is rewritten without gaps, the old files stay as .backup."""
     from blockloom.functions.entries import valid_payload_udf
+    from blockloom.sources import files
     from blockloom.sources.logstore import paths, read_store, write_index, write_store
 
     data, index = paths(folder, "v2")
-    size = os.path.getsize(data)
+    size = files.size(data) or 0
     rows = read_store(spark, folder).withColumn("ok", F.coalesce(valid_payload_udf("data"), F.lit(False)))
     meta = rows.drop("data")
     keep = "last" if compact else "first"
@@ -89,9 +88,9 @@ def repair_store(spark: SparkSession, folder: str, begin: int, end: int, compact
         new = folder.rstrip("/") + ".repaired"
         write_store(kept_rows(rows, size, keep, end).select("block", "data"), new, skip_present=False)
         for old, path in zip((data, index), paths(new, "v2"), strict=True):
-            os.replace(old, old + ".backup")
-            os.replace(path, old)
-        os.rmdir(new)
+            files.rename(old, old + ".backup")
+            files.rename(path, old)
+        files.remove_folder(new)
     else:
         kept = kept_rows(meta, size, keep).select("block", "offset", "length").orderBy("block")
         write_index(folder, "v2", [tuple(r) for r in kept.toLocalIterator()])

@@ -49,7 +49,7 @@ class Reader:
         return self.known.get((CODE, code_hash, None))
 
     def block_hash(self, number: int) -> bytes:
-        return self.known.get((HASH, number.to_bytes(8, "big"), None), ZERO)
+        return self.known.get((HASH, number.to_bytes(8, "big", signed=True), None), ZERO)
 
     def write(self, address: bytes, slot: bytes | None, value: bytes | None) -> None:
         self.written[STATE, address, slot] = value

@@ -13,7 +13,6 @@ behind the data).
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from blockloom.functions.codecs import pack_record, unpack_record
+from blockloom.functions.codecs import pack_record, unpack_any, unpack_record
+from blockloom.sources import files
 
 HEADER = 32
 #: Magic words, versions and file names of the layouts.
@@ -37,17 +37,18 @@ MOST_READ = 8 << 20
 
 def paths(folder: str, layout: str) -> tuple[str, str]:
     data, index = FILES[layout]
-    return os.path.join(folder, data), os.path.join(folder, index)
+    return files.join(folder, data), files.join(folder, index)
 
 
 def index_span(folder: str, layout: str) -> tuple[int, int]:
     """Where index rows begin and how many whole ones there are; a short last row is ignored, and rows beyond the header's count are read."""
     data, index = paths(folder, layout)
-    size = os.path.getsize(index)
+    size = files.size(index)
+    if size is None:
+        raise FileNotFoundError(index)
     if layout == "file":
         return 0, size // ROW[layout].size
-    with open(index, "rb") as f:
-        head = f.read(HEADER)
+    head = files.read_range(index, 0, HEADER)
     if layout == "v1":
         if head[:8] != V1_MAGIC:
             raise ValueError("not a v1 store")
@@ -55,8 +56,7 @@ def index_span(folder: str, layout: str) -> tuple[int, int]:
         return begin, min(int.from_bytes(head[12:20], "little"), (size - begin) // ROW[layout].size)
     if len(head) < HEADER or head[:8] != INDEX_MAGIC or int.from_bytes(head[8:12], "little") != VERSION:
         raise ValueError("not a v2 index")
-    with open(data, "rb") as f:
-        head = f.read(HEADER)
+    head = files.read_range(data, 0, HEADER)
     if head[:8] != DATA_MAGIC or int.from_bytes(head[8:12], "little") != VERSION:
         raise ValueError("not a v2 data file")
     return HEADER, (size - HEADER) // ROW[layout].size
@@ -65,9 +65,7 @@ def index_span(folder: str, layout: str) -> tuple[int, int]:
 def read_rows(folder: str, layout: str, lo: int, hi: int) -> list[tuple[int, int, int, int]]:
     begin, _ = index_span(folder, layout)
     row = ROW[layout]
-    with open(paths(folder, layout)[1], "rb") as f:
-        f.seek(begin + lo * row.size)
-        raw = f.read((hi - lo) * row.size)
+    raw = files.read_range(paths(folder, layout)[1], begin + lo * row.size, (hi - lo) * row.size)
     return [(lo + k, *x) for k, x in enumerate(row.iter_unpack(raw[: len(raw) // row.size * row.size]))]
 
 
@@ -75,7 +73,7 @@ def read_payloads(path: str, ranges: list[tuple[int, int]]) -> list[bytes | None
     """The bytes of each (offset, length), in the order asked for; None if they run past the end. Neighbours are one read."""
     out: list[bytes | None] = [None] * len(ranges)
     order = sorted(range(len(ranges)), key=lambda k: ranges[k])
-    with open(path, "rb") as f:
+    with files.reader(path) as f:
         at = 0
         while at < len(order):
             begin, end = ranges[order[at]][0], sum(ranges[order[at]])
@@ -83,8 +81,7 @@ def read_payloads(path: str, ranges: list[tuple[int, int]]) -> list[bytes | None
             while last < len(order) and ranges[order[last]][0] == end and end - begin < MOST_READ:
                 end += ranges[order[last]][1]
                 last += 1
-            f.seek(begin)
-            raw = f.read(end - begin)
+            raw = bytes(f.read_at(end - begin, begin))
             for k in order[at:last]:
                 a, n = ranges[k]
                 piece = raw[a - begin : a - begin + n]
@@ -93,6 +90,16 @@ def read_payloads(path: str, ranges: list[tuple[int, int]]) -> list[bytes | None
     return out
 
 
+def _unpacked(record: bytes, kind: str) -> bytes | None:
+    """kind: packed or any (packed, or else as it is). None for a record that can't be read."""
+    if kind == "any":
+        return unpack_any(record)
+    try:
+        return unpack_record(record)
+    except Exception:  # noqa: BLE001 - each codec has errors of its own; one bad record doesn't end the job
+        return None
+
+
 class _Rows(InputPartition):
     def __init__(self, lo: int, hi: int):
         super().__init__(lo)
@@ -104,7 +111,7 @@ class _Reader(DataSourceReader):
         self.names = schema.fieldNames()
         self.folder, self.layout = options["path"], options.get("layout", "v2")
         self.rows = int(options.get("rowspertask", 100_000))
-        self.raw = options.get("raw", "false") == "true"
+        self.raw, self.format = options.get("raw", "false") == "true", options.get("format", "packed")
 
     def partitions(self) -> list[InputPartition]:
         _, n = index_span(self.folder, self.layout)
@@ -118,7 +125,7 @@ class _Reader(DataSourceReader):
             data = read_payloads(paths(self.folder, self.layout)[0], [(r[2], r[3]) if 0 < r[3] < 1 << 31 and r[2] < 1 << 62 else (0, 0) for r in some]) if whole else [None] * len(some)
             for (pos, block, offset, length), payload in zip(some, data, strict=True):
                 if whole and self.layout == "file" and payload and not self.raw:
-                    payload = unpack_record(payload)
+                    payload = _unpacked(payload, self.format)
                 values = {"append_pos": pos, "block": min(block, (1 << 63) - 1), "offset": min(offset, (1 << 63) - 1), "length": length, "data": payload or None}
                 yield tuple(values[n] for n in self.names)
 
@@ -137,9 +144,9 @@ class _Writer(DataSourceWriter):
             raise ValueError("only layouts v2 and file are written")
 
     def write(self, iterator) -> _Part:
-        os.makedirs(self.folder, exist_ok=True)
-        path, rows = os.path.join(self.folder, f".part-{uuid.uuid4().hex}"), []
-        with open(path, "wb") as f:
+        files.make_folder(self.folder)
+        path, rows = files.join(self.folder, f".part-{uuid.uuid4().hex}"), []
+        with files.writer(path) as f:
             for r in iterator:
                 record = bytes(r["data"]) if self.layout == "v2" else pack_record(bytes(r["data"]), self.codec)
                 f.write(record)
@@ -150,35 +157,33 @@ class _Writer(DataSourceWriter):
         data, index = paths(self.folder, self.layout)
         head = HEADER if self.layout == "v2" else 0
         for path, magic in ((data, DATA_MAGIC), (index, INDEX_MAGIC)):
-            if head and not os.path.exists(path):
-                with open(path, "wb") as f:
+            if head and not files.exists(path):
+                with files.writer(path) as f:
                     f.write((magic + VERSION.to_bytes(4, "little")).ljust(HEADER, b"\0"))
         entries = []
-        with open(data, "ab") as out:
+        at = files.size(data) or 0
+        with files.appender(data) as out:
             for m in sorted((m for m in messages if m and m.rows), key=lambda m: m.rows[0]):
-                at = out.tell()
-                with open(m.path, "rb") as part:
+                with files.reader(m.path) as part:
                     while chunk := part.read(1 << 20):
                         out.write(chunk)
                 for block, n in m.rows:
                     entries.append(ROW[self.layout].pack(block, at, n))
                     at += n
-            out.flush()
-            os.fsync(out.fileno())
-        with open(index, "ab") as f:  # after the data: a crash between leaves orphaned bytes, never wrong rows
+        with files.appender(index) as f:  # after the data: a crash between leaves orphaned bytes, never wrong rows
             f.write(b"".join(entries))
-        if head:
-            with open(index, "r+b") as f:
-                f.seek(12)
-                f.write(((os.path.getsize(index) - HEADER) // ROW[self.layout].size).to_bytes(8, "little"))
+        if head:  # the count in the header is for others; readers here go by the file's size
+            raw = files.read_range(index, 0, files.size(index))
+            count = (len(raw) - HEADER) // ROW[self.layout].size
+            files.write_whole(index, raw[:12] + count.to_bytes(8, "little") + raw[20:])
         for m in messages:
             if m:
-                os.unlink(m.path)
+                files.remove(m.path)
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.unlink(m.path)
+            if m and files.exists(m.path):
+                files.remove(m.path)
 
 
 class BlockLogSource(DataSource):
@@ -206,15 +211,30 @@ def read_store(spark: SparkSession, folder: str, layout: str = "v2", with_data:
     return spark.read.format("blocklog").schema(schema).option("layout", layout).load(folder)
 
 
+def open_store(spark: SparkSession, folder: str, layout: str = "v2", with_data: bool = True) -> DataFrame:
+    """The rows that a store has when it is opened: invalid index rows are left out, then the last of each block stays."""
+    from blockloom.operators.index import dedupe, valid
+
+    rows = read_store(spark, folder, layout, with_data)
+    return dedupe(rows.where(valid(files.size(paths(folder, layout)[0]) or 0, strict=False, header=0 if layout == "file" else HEADER)))
+
+
+def skipped_rows(spark: SparkSession, folder: str, layout: str = "v2") -> int:
+    """How many index rows opening leaves out, those of zeros aside, which a crash may leave behind."""
+    from blockloom.operators.index import all_zero, valid
+
+    rows = read_store(spark, folder, layout, with_data=False)
+    return rows.where(~valid(files.size(paths(folder, layout)[0]) or 0, strict=False, header=0 if layout == "file" else HEADER) & ~all_zero()).count()
+
+
 def write_store(payloads: DataFrame, folder: str, layout: str = "v2", codec: str = "zstd", skip_present: bool = True) -> None:
-    """payloads: block, data. Blocks whose payload is there and valid are skipped, corrupt ones written again."""
+    """payloads: block, data. Blocks whose payload is there and valid are skipped, corrupt ones written again. One data file has one writer: the commit copies the tasks' parts into it; ``segments`` has a store without that step."""
     from blockloom.functions.entries import valid_payload_udf
-    from blockloom.operators.index import dedupe
 
     spark = payloads.sparkSession
     register(spark)
-    if skip_present and os.path.exists(paths(folder, layout)[1]):
-        there = dedupe(read_store(spark, folder, layout)).where(F.col("data").isNotNull() & valid_payload_udf("data")).select("block")
+    if skip_present and files.exists(paths(folder, layout)[1]):
+        there = open_store(spark, folder, layout).where(F.coalesce(valid_payload_udf("data"), F.lit(False))).select("block")
         payloads = payloads.join(there, "block", "left_anti")
     payloads.select("block", "data").repartitionByRange("block").sortWithinPartitions("block").write.format("blocklog").mode("append").option("layout", layout).option("codec", codec).save(folder)
 
@@ -228,17 +248,15 @@ def drop_from_index(spark: SparkSession, folder: str, blocks: list[int], layout:
 def write_index(folder: str, layout: str, rows: list[tuple[int, int, int]]) -> None:
     index = paths(folder, layout)[1]
     head = (INDEX_MAGIC + VERSION.to_bytes(4, "little") + len(rows).to_bytes(8, "little")).ljust(HEADER, b"\0") if layout == "v2" else b""
-    with open(index + ".new", "wb") as f:
-        f.write(head + b"".join(ROW[layout].pack(*r) for r in rows))
-    os.replace(index + ".new", index)
+    files.write_whole(index, head + b"".join(ROW[layout].pack(*r) for r in rows))
 
 
 def migrate_v1(old: str, new: str) -> int:
     """Splits a v1 file into a v2 data file and index; how many rows."""
     begin, n = index_span(old, "v1")
-    os.makedirs(new, exist_ok=True)
+    files.make_folder(new)
     source = paths(old, "v1")[0]
-    with open(source, "rb") as f, open(paths(new, "v2")[0], "wb") as out:
+    with files.reader(source) as f, files.writer(paths(new, "v2")[0]) as out:
         out.write((DATA_MAGIC + VERSION.to_bytes(4, "little")).ljust(HEADER, b"\0"))
         f.seek(HEADER)
         left = begin - HEADER
@@ -246,5 +264,5 @@ def migrate_v1(old: str, new: str) -> int:
             out.write(chunk)
             left -= len(chunk)
     write_index(new, "v2", [r[1:] for r in read_rows(old, "v1", 0, n)])
-    os.replace(source, source + ".backup")
+    files.rename(source, source + ".backup")
     return n

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import block_of_file, log_line
+from blockloom.sources import files
 
 #: Chains known by name.
 CHAINS = ("mainnet", "sepolia", "holesky", "hoodi", "dev")
@@ -34,6 +37,19 @@ def read_single_files(spark: SparkSession, folder: str) -> DataFrame:
     return x.select(block_of_file(F.col("path")).alias("block"), F.col("content").alias("record"))
 
 
+def write_single_files(payloads: DataFrame, folder: str) -> None:
+    """payloads: block, data. A file for each block, named as ``read_single_files`` reads them."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files.write_whole(files.join(folder, f"block_{block}_reads.bin"), data)
+            yield batch.select([0])
+
+    files.make_folder(folder)
+    payloads.select(F.col("block").cast("long").alias("block"), "data").mapInArrow(write, "block long").write.format("noop").mode("overwrite").save()
+
+
 def chain_spec(value: str) -> dict:
     """A known chain by name, else a JSON file, else JSON text."""
     if value in CHAINS:
@@ -47,4 +63,14 @@ def chain_spec(value: str) -> dict:
 def transactions(spark: SparkSession, hexes: list[str]) -> DataFrame:
     """pos, raw: given transactions as bytes; bad hex is null."""
     x = spark.createDataFrame(list(enumerate(hexes)), "pos long, hex string")
-    return x.select("pos", F.unhex(F.regexp_replace("hex", "^0x", "")).alias("raw"))
+    return x.select("pos", raw_transaction(F.col("hex")).alias("raw"))
+
+
+def raw_transaction(value: Column) -> Column:
+    """A transaction's bytes from hex, with or without 0x; null if it is none."""
+    return F.unhex(F.regexp_replace(value, "^0x", ""))
+
+
+def blobs(value: Column) -> Column:
+    """The sidecar of blob transactions from JSON."""
+    return F.from_json(value, "blobs array<string>, commitments array<string>, proofs array<string>")

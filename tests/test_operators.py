@@ -61,6 +61,21 @@ def test_two_level_windows(spark, seed):
     assert sorted(map(tuple, ordered.islands(df, "k", width=16).collect())) == want
 
 
+def test_measured_buckets(spark):
+    df = spark.createDataFrame([(f"0x{k:04x}", k * 1_000_000, k) for k in range(500)], "s string, n long, v long")
+    assert ordered.measured(df, "s") == 2 + len("0x0") and ordered.measured(df.limit(0), "n") == 1
+    assert ordered.measured(df, "n") == 499_000_001
+    want = {f"0x{k:04x}": k * (k - 1) // 2 for k in range(500)}
+    assert {r.s: r.x for r in ordered.running_sum(df, "s", F.col("v"), "x").collect()} == want
+    assert {r.s: r.x for r in ordered.running_sum(df, "n", F.col("v"), "x").collect()} == want
+
+
+def test_split_reads(spark):
+    df = spark.createDataFrame([(bytearray(b"abcdef"),)], "d binary")
+    r = df.select(index.split_reads(F.col("d"), F.lit(2), F.lit(3)).alias("a"), index.split_reads(F.col("d"), F.lit(4), F.lit(3)).alias("b")).first()
+    assert bytes(r.a) == b"cde" and r.b is None
+
+
 def test_index_validity_edges(spark):
     cases = [(1, 32, 5, True, True), (100_000_000, 32, 5, False, False), (1, 31, 5, False, False), (1, 101, 1, False, False), (1, 32, 0, False, False), (1, 32, 10_000_000, False, False), (1, 98, 5, True, False), (1, 95, 5, True, True)]
     df = spark.createDataFrame([c[:3] + (k,) for k, c in enumerate(cases)], "block long, offset long, length int, k int")

@@ -1,6 +1,8 @@
 import pytest
 
-from blockloom.plans.queries import ORACLES, QUERIES
+from blockloom.plans.queries import oracle_sql, queries
+
+QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -59,6 +59,15 @@ def test_exhausted_logs(world):
     assert zero == base and more == {b: n + 1 for b, n in base.items()}
 
 
+def test_fallback_of_a_block_that_reads_nothing(spark):
+    """A corrupt record of a block without state: the fallback has nothing to read, but runs."""
+    blocks = spark.createDataFrame([(1,)], "block long")
+    logs = spark.createDataFrame([(1, bytearray(b"abc"))], "block long, data binary")
+    none = spark.createDataFrame([], "block long, address binary, slot binary, value binary")
+    assert [(r.result, r.status) for r in replay.replay(blocks, logs, lambda block, reader: 7, state=none).collect()] == [(7, "fallback")]
+    assert [r.status for r in replay.replay(blocks, logs, lambda block, reader: 7).collect()] == ["failed"]
+
+
 def test_stream_resumes_without_doubles(spark, tmp_path):
     source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     spark.range(0, 10).select(F.col("id").alias("block")).coalesce(1).write.parquet(source)
