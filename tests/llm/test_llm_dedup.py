@@ -218,6 +218,23 @@ def test_embeddings_of_a_dense_one_sided_group(spark):
     assert got == {k: (m, forest.root(k), forest.root(k) == k) for k, m in enumerate(linked.sum(axis=1).tolist())}
 
 
+def test_embedding_recall_far_beyond_a_window(spark, monkeypatch):
+    """8,000 vectors, pairs planted just over the threshold, windows of about 60."""
+    monkeypatch.setattr(embeddings, "WINDOW", 60)
+    rng, n, dim = np.random.default_rng(3), 8000, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((n // 2, dim))
+    y -= (y * x[: n // 2]).sum(axis=1, keepdims=True) * x[: n // 2]
+    x[n // 2 :] = 0.951 * x[: n // 2] + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert embeddings.bits(n) == 8 and embeddings.passes(n, 0.95) > 25
+    assert got == dict(enumerate(linked.sum(axis=1).tolist())) and linked.sum() >= n
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 8)
     monkeypatch.setattr(embeddings, "WINDOW", 4)
