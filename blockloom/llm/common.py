@@ -137,6 +137,13 @@ def write_file(uri: str, data: bytes) -> None:
     store.move(temp, path)
 
 
+def open_file(uri: str) -> Callable[[int, int], bytes]:
+    """What reads so many bytes from a place of a file."""
+    store, path = _store(uri)
+    file = store.open_input_file(path)
+    return lambda offset, length: bytes(file.read_at(length, offset))
+
+
 def read_file(uri: str) -> bytes:
     store, path = _store(uri)
     with store.open_input_stream(path) as f:

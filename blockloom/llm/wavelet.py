@@ -3,8 +3,10 @@
 A shard file holds the ids of consecutive documents, in ascending doc_id, as
 the bit-planes of a wavelet matrix, most significant first. Each plane is cut
 into chunks of CHUNK_BITS bits, compressed one by one, under a directory of
-the ones before each chunk, so that ``access``, ``count`` and ``locate`` read
-single chunks, and ``decode`` turns a whole shard back.
+the ones before each chunk. Inside a chunk that was read, ones are counted
+before each BLOCK bytes, so a rank counts the bits of BLOCK bytes at most.
+``load`` reads the header; ``access``, ``count`` and ``locate`` read a chunk or
+two of each plane from the file, and ``decode`` turns a whole shard back.
 
 File: MAGIC, length of the header (8 bytes, little-endian), the header as
 JSON, then the parts that it names by offset and length: the documents (ids,
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import mapped, read_file, stage, staging_path, write_file
+from blockloom.llm.common import mapped, open_file, stage, staging_path, write_file
 from blockloom.llm.tokens import encoder
 
-MAGIC, CHUNK_BITS, SHARD_TOKENS, END_ID = b"BLWM0001", 1 << 16, 4_000_000, 0
+MAGIC, CHUNK_BITS, BLOCK, SHARD_TOKENS, END_ID = b"BLWM0001", 1 << 16, 64, 4_000_000, 0
 MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 
 
@@ -66,23 +68,34 @@ def build(ids: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> byte
 
 
 class Shard:
-    """A shard file's bytes; positions and ranges are of its ids from 0."""
+    """A shard file, of which read(offset, length) gives bytes; positions and ranges are of its ids from 0."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes]):
+        start = read(0, 16)
+        if start[:8] != MAGIC:
             raise ValueError("not a token file")
-        n = int.from_bytes(data[8:16], "little")
-        self._open = zstandard.ZstdDecompressor()
-        self.head = json.loads(self._open.decompress(data[16 : 16 + n]))
-        self._body = memoryview(data)[16 + n :]
+        n = int.from_bytes(start[8:16], "little")
+        self._open, self._read, self._begin = zstandard.ZstdDecompressor(), read, 16 + n
+        self.head = json.loads(self._open.decompress(read(16, n)))
         self.n, self.planes = self.head["n"], self.head["planes"]
         self._chunk = lru_cache(256)(self._bits)
 
     def _part(self, at: list[int]) -> bytes:
-        return self._open.decompress(self._body[at[0] : at[0] + at[1]])
-
-    def _bits(self, plane: int, chunk: int) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self._part(self.planes[plane]["chunks"][chunk]), "u1"))
+        return self._open.decompress(self._read(self._begin + at[0], at[1]))
+
+    def _bits(self, plane: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of a chunk, and the ones before each BLOCK of them."""
+        data = np.frombuffer(self._part(self.planes[plane]["chunks"][chunk]), "u1")
+        ones = np.add.reduceat(np.bitwise_count(data), np.arange(0, len(data), BLOCK), dtype=np.int64)
+        return data, np.concatenate([[0], np.cumsum(ones)])
+
+    def _plane(self, plane: int) -> np.ndarray:
+        """All bits of a plane, read at once."""
+        chunks = self.planes[plane]["chunks"]
+        first, end = chunks[0][0], sum(chunks[-1])
+        data = memoryview(self._read(self._begin + first, end - first))
+        whole = b"".join(self._open.decompress(data[a - first : a - first + n]) for a, n in chunks)
+        return np.unpackbits(np.frombuffer(whole, "u1"), count=self.n).astype(bool)
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
         """Ids and token counts."""
@@ -92,14 +105,22 @@ class Shard:
     def _rank(self, plane: int, i: int) -> int:
         """Ones among the first i bits."""
         chunk, rest = divmod(i, CHUNK_BITS)
-        return self.planes[plane]["before"][chunk] + (int(self._chunk(plane, chunk)[:rest].sum()) if rest else 0)
+        before = self.planes[plane]["before"][chunk]
+        if not rest:
+            return before
+        data, ones = self._chunk(plane, chunk)
+        byte, bit = divmod(rest, 8)
+        block = byte // BLOCK
+        part = int(np.bitwise_count(data[block * BLOCK : byte]).sum(dtype=np.int64))
+        return before + int(ones[block]) + part + ((int(data[byte]) >> (8 - bit)).bit_count() if bit else 0)
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
         for p, plane in enumerate(self.planes):
-            bit = int(self._chunk(p, i // CHUNK_BITS)[i % CHUNK_BITS])
+            byte, at = divmod(i % CHUNK_BITS, 8)
+            bit = int(self._chunk(p, i // CHUNK_BITS)[0][byte]) >> (7 - at) & 1
             ones = self._rank(p, i)
             out, i = out << 1 | bit, plane["zeros"] + ones if bit else i - ones
         return out
@@ -130,15 +151,22 @@ class Shard:
         if not bit:
             before = np.minimum(np.arange(len(before)) * CHUNK_BITS, self.n) - before
         chunk = int(np.searchsorted(before, k, "right")) - 1
-        bits = self._chunk(plane, chunk)[: self.n - chunk * CHUNK_BITS]
-        return chunk * CHUNK_BITS + int(np.flatnonzero(bits == bit)[k - before[chunk]])
+        data, ones = self._chunk(plane, chunk)
+        k -= int(before[chunk])
+        if not bit:
+            ones = np.minimum(np.arange(len(ones)) * BLOCK, len(data)) * 8 - ones
+        block = int(np.searchsorted(ones, k, "right")) - 1
+        bits = np.unpackbits(data[block * BLOCK : (block + 1) * BLOCK])
+        return chunk * CHUNK_BITS + block * BLOCK * 8 + int(np.flatnonzero(bits == bit)[k - int(ones[block])])
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
         out = np.zeros(self.n, np.uint32)
+        if not self.n:
+            return out
         for p in reversed(range(len(self.planes))):
             plane = self.planes[p]
-            ones = np.unpackbits(np.frombuffer(b"".join(map(self._part, plane["chunks"])), "u1"), count=self.n).astype(bool)
+            ones = self._plane(p)
             up = np.empty(self.n, np.uint32)
             up[~ones] = out[: plane["zeros"]]
             up[ones] = out[plane["zeros"] :] | np.uint32(1 << (len(self.planes) - 1 - p))
@@ -147,7 +175,12 @@ class Shard:
 
 
 def load(uri: str) -> Shard:
-    return Shard(read_file(uri))
+    """A shard whose parts are read when they are asked for."""
+    return Shard(open_file(uri))
+
+
+def loaded(data: bytes) -> Shard:
+    return Shard(lambda offset, length: data[offset : offset + length])
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -115,7 +115,7 @@ def test_many_blocks(spark, monkeypatch):
 def test_wavelet_access_count_locate():
     rng = np.random.default_rng(1)
     ids = rng.choice([0, 1, 5, 900, 50_256], 150_000, p=[0.1, 0.4, 0.3, 0.15, 0.05]).astype(np.uint32)
-    shard = wavelet.Shard(wavelet.build(ids, [3, None], [100_000, 50_000]))
+    shard = wavelet.loaded(wavelet.build(ids, [3, None], [100_000, 50_000]))
     assert (shard.decode() == ids).all()
     assert shard.documents()[0] == [3, None] and shard.documents()[1].tolist() == [100_000, 50_000]
     for i in rng.integers(0, len(ids), 30).tolist():
@@ -130,10 +130,22 @@ def test_wavelet_access_count_locate():
             shard.locate(token, len(places))
     with pytest.raises(IndexError):
         shard.access(len(ids))
-    empty = wavelet.Shard(wavelet.build(np.zeros(0, np.uint32), [], []))
+    empty = wavelet.loaded(wavelet.build(np.zeros(0, np.uint32), [], []))
     assert empty.decode().tolist() == [] and empty.count(0) == 0
 
 
+def test_token_file_access_reads_little(tmp_path):
+    """From a file: the header, then a chunk of each plane."""
+    ids = np.random.default_rng(2).integers(0, 50_000, 600_000).astype(np.uint32)
+    data, read = wavelet.build(ids, [1], [len(ids)]), []
+    wavelet.write_file(f"file://{tmp_path}/x.blwm", data)
+    shard = wavelet.load(f"file://{tmp_path}/x.blwm")
+    assert [shard.access(k) for k in (0, 77_777, 599_999)] == ids[[0, 77_777, 599_999]].tolist()
+    shard = wavelet.Shard(lambda offset, length: read.append(length) or data[offset : offset + length])
+    assert shard.access(300_000) == ids[300_000] and sum(read) < len(data) / 4
+    assert shard.locate(int(ids[5]), shard.count(int(ids[5]), 0, 5)) == 5
+
+
 def test_token_files(spark, real):
     rows = real[:60] + [(1000 + k, t) for k, t in enumerate(ODD)] + real[:1]
     manifest = wavelet.write(docs(spark, rows), registered.tokenizer_path("byte_bpe_50k.json"), wavelet.staging_path(spark, "t"), shard_tokens=20_000)
