@@ -11,7 +11,7 @@ Defined cases: a null or empty text has statistics of 0 and a score; rows
 without label, or with a null one, aren't learnt from; of several labels for
 one doc_id the highest counts, and of repeats of a labelled document the least
 statistics; with no labels, or one value only, the score is
-the share of ones (0.5 of none); repeated rows are scored again; empty tables
+the share of ones (0.5 of none), and so with too few labels for a rule; repeated rows are scored again; empty tables
 give no rows. Only the text is read for a score.
 """
 
@@ -149,6 +149,8 @@ class RuleEnsemble:
             for path, on in zip(paths, full, strict=True):
                 if len(path) == DEPTH:
                     score[on] += RATE * (y - p)[on].sum() / ((p * (1 - p))[on].sum() + 1)
+        if not found:  # too few rows for any path
+            return cls(float(np.log(y.mean() / (1 - y.mean()))), [])
         paths, r = [v[0] for v in found.values()], np.array([v[1] for v in found.values()]).T.astype(float)
         test = rng.random(len(y)) < 0.25
         best = None
