@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.operators.index import missing_from
@@ -20,8 +21,10 @@ def ingest(source: DataFrame, target: str, checkpoint: str, key: str = "block")
         new = batch.dropDuplicates([key])
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            new = missing_from(new, spark.read.parquet(target), key)
-        new.write.mode("append").parquet(target)
+            span = new.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+            there = spark.read.parquet(target).where(F.col(key).between(span["lo"], span["hi"]))  # Parquet's statistics leave out the files of other blocks
+            new = missing_from(new, there, key)
+        new.repartitionByRange(key).sortWithinPartitions(key).write.mode("append").parquet(target)
 
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. run() writes each stage's result to the
 shared folder and reads it back for the next.
+
+Defined cases: a null or empty text is scored as an empty one, links with no
+other, loses nothing, matches no test item, and is packed as the end id alone;
+a row without doc_id is scored like any other, is not compared with others and
+stays; of repeated rows one stays; nulls in other columns, and more columns,
+go through all stages but the last; empty tables give empty results; without
+labels everything has the score 0.5 and stays.
 """
 
 from __future__ import annotations
