@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -20,7 +21,9 @@ def ship(spark: SparkSession) -> None:
         return
     with tempfile.TemporaryDirectory() as stage:
         shutil.copytree(ROOT / "blockloom", Path(stage, "blockloom"), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="blockloom-"), "blockloom_package")), "zip", stage)
+        kept = tempfile.mkdtemp(prefix="blockloom-")  # the driver serves the archive from here for as long as it lives
+        atexit.register(shutil.rmtree, kept, ignore_errors=True)
+        archive = shutil.make_archive(str(Path(kept, "blockloom_package")), "zip", stage)
     context.addPyFile(archive)
     _sent.add(context.applicationId)
 
