@@ -32,8 +32,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -46,11 +47,15 @@ from blockloom.llm.urls import host_of, path_of
 LEAST_PAGES, MOST_SHARE = 5, 0.3
 #: The content has this share of the running text, and occurs so often in a page at most, on average.
 CONTENT_SHARE, ONCE = 0.5, 1.2
+#: Counts that a task holds before it gives them on.
+HELD = 50_000
 #: Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg"}
 GONE = {*RAW, "head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video", "math", "input", "label", "fieldset"}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+MAINS, PARAGRAPH = {"article", "main"}, {"p"}
+AROUND_P = {"td", "th", "li", "div", "article", "section", "main", "body", "blockquote", "button", "object"}
 #: Elements that hold the whole page or its article.
 WHOLE = {"#root", "html", "body", "article", "main", "head"}
 OWN = set("p h1 h2 h3 h4 h5 h6 pre blockquote li ul ol dl dt dd table thead tbody tr td th figure figcaption".split())
@@ -59,19 +64,19 @@ ENDS_P = BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 CLASSES = set("ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus share sharing social related newsletter subscribe subscription popup modal toolbar pagination masthead topbar skip".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[^A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("gone", "hash", "holds", "inside", "kids", "label", "name", "path", "shape", "size", "slot")
+    """An element; ``hashed`` sets what is not set here."""
 
-    def __init__(self, name: str, gone: bool = False, inside: bool = False, label: str = ""):
-        self.name, self.gone, self.inside, self.label, self.kids = name, gone, inside, label or name, []
-        self.hash = self.shape = self.path = self.slot = self.size = 0
-        self.holds = False
+    __slots__ = ("gone", "hash", "holds", "inside", "kids", "label", "name", "order", "path", "shape", "size", "slot")
+
+    def __init__(self, name: str, gone: bool, inside: bool, label: str):
+        self.name, self.gone, self.inside, self.label, self.kids = name, gone, inside, label, []
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
@@ -89,16 +94,23 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
 
 def _label(name: str, attributes: str) -> str:
     """The name with its classes, id and role, numbers aside."""
-    if not attributes.strip(" /"):
+    if not attributes or "=" not in attributes:
         return name
+    return _labelled(name, attributes) if len(attributes) < 200 else _labelled.__wrapped__(name, attributes)
+
+
+@lru_cache(8192)
+def _labelled(name: str, attributes: str) -> str:
     words = sorted({w for key, *values in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role") for v in values for w in _PARTS.split(v.lower()) if w})
     return " ".join((name, *words))
 
 
 def parse(text: str, names: bool = True) -> Node:
     """A page as a tree; texts are kept as they stand. names: unwanted elements and classes are marked."""
-    root = Node("#root")
-    stack, at, n, opened = [root], 0, len(text), Counter()
+    root = Node("#root", False, False, "#root")
+    stack, at, n, opened = [root], 0, len(text), defaultdict(int)
+    order, search = [root], _TAG.search
+    root.order = order
     last = text.rfind(">")  # beyond it there are no tags
 
     def cut(k: int) -> None:
@@ -107,7 +119,10 @@ def parse(text: str, names: bool = True) -> Node:
         del stack[k:]
 
     def close(names: set[str], until: set[str]) -> None:
-        if not any(opened[x] for x in names):
+        for x in names:
+            if opened[x]:
+                break
+        else:
             return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
@@ -117,32 +132,41 @@ def parse(text: str, names: bool = True) -> Node:
                 return
 
     while at < n:
-        m = _TAG.search(text, at) if at <= last or "<!" in text[at:] else None
+        m = search(text, at) if at <= last or "<!" in text[at:] else None
         if not m:
             stack[-1].kids.append(text[at:])
             break
-        if m.start() > at:
-            stack[-1].kids.append(text[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        start, end = m.span()
+        if start > at:
+            stack[-1].kids.append(text[at:start])
+        at = end
+        slash, name, attributes = m.groups()
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = name.lower()
+        if slash:
             if opened[name]:
                 close({name}, set() if name in BLOCKS else BLOCKS)
             continue
-        if name in ENDS_P:
-            close({"p"}, {"td", "th", "li", "div", "article", "section", "main", "body", "blockquote", "button", "object"})
+        if opened["p"] and name in ENDS_P:
+            close(PARAGRAPH, AROUND_P)
         if name in SIBLINGS:
             close(*SIBLINGS[name])
-        inside = stack[-1].inside or name in ("article", "main")
-        node = Node(name, (name in RAW or name == "head") if not names else _unwanted(name, m[3], stack[-1].inside), inside, _label(name, m[3]))
-        stack[-1].kids.append(node)
-        if name in RAW and not m[3].endswith("/"):
+        up = stack[-1]
+        if not names:
+            gone = name in RAW or name == "head"
+        elif attributes:
+            gone = _unwanted(name, attributes, up.inside)
+        else:
+            gone = name in GONE or (name == "header" and not up.inside)
+        node = Node(name, gone, up.inside or name in MAINS, _label(name, attributes) if attributes else name)
+        up.kids.append(node)
+        order.append(node)
+        if name in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
             node.kids.append(text[at : end.start() if end else n])
             at = end.end() if end else n
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
             stack.append(node)
             opened[name] += 1
     return root
@@ -153,7 +177,7 @@ def plain(text: str) -> str:
 
 
 def _order(root: Node) -> list[Node]:
-    """All elements, outer ones first."""
+    """All elements under one, outer ones first."""
     out, todo = [], [root]
     while todo:
         out.append(x := todo.pop())
@@ -161,30 +185,36 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+@lru_cache(65_536)
+def _named(label: str) -> int:
+    return xxhash.xxh3_64_intdigest(label.encode("utf-8", "replace"))
+
+
 def hashed(root: Node) -> list[Node]:
-    """All elements, outer ones first, with hashes of words, shape, path and slot, and the running text that each holds."""
-    order = _order(root)
-    root.path = xxhash.xxh3_64_intdigest(b"path")
+    """All elements, outer ones first, with hashes of words, shape, path and slot (of tuples of numbers, which Python hashes alike everywhere), and the running text that each holds."""
+    order = root.order
+    root.path = 1
     for x in order:
+        path = x.path
         for k in x.kids:
-            if not isinstance(k, str):
-                k.path = xxhash.xxh3_64_intdigest(k.label.encode("utf-8", "replace"), x.path)
+            if type(k) is not str:
+                k.path = hash((path, _named(k.label)))
     for x in reversed(order):
-        words, shape, last, x.size, x.holds = xxhash.xxh3_64(x.name), xxhash.xxh3_64(x.label.encode("utf-8", "replace"), 1), None, 0, x.name in ("article", "main")
+        words, shapes, size, holds = [_named(x.name)], [_named(x.label)], 0, x.name in ("article", "main")
         for k in x.kids:
-            if isinstance(k, str):
-                if k and not k.isspace():
-                    words.update((text := plain(k)).encode("utf-8", "replace"))
-                    x.size += len(text)
+            if type(k) is str:
+                if text := plain(k):
+                    words.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")))
+                    size += len(text)
             else:
-                words.update(k.hash.to_bytes(8, "little"))
-                if k.shape != last:
-                    shape.update(k.shape.to_bytes(8, "little"))
-                last, x.size, x.holds = k.shape, x.size + k.size, x.holds or k.holds
-        if x.gone or x.name == "a":
-            x.size = 0
-        x.hash, x.shape = words.intdigest(), shape.intdigest()
-        x.slot = xxhash.xxh3_64_intdigest(x.shape.to_bytes(8, "little"), x.path)
+                words.append(k.hash)
+                size += k.size
+                holds = holds or k.holds
+                if k.shape != shapes[-1]:
+                    shapes.append(k.shape)
+        x.size, x.holds = 0 if x.gone or x.name == "a" else size, holds
+        x.hash, x.shape = hash(tuple(words)), hash(tuple(shapes))
+        x.slot = hash((x.path, x.shape))
     return order
 
 
@@ -208,23 +238,26 @@ def evidence(root: Node) -> list[tuple[int, int, float, int, int]]:
     depth, total = {id(root): 0}, max(root.size, 1)
     out: dict[tuple[int, int], list] = {}
     for x in order:
+        below = depth[id(x)] + 1
         for k in x.kids:
-            if not isinstance(k, str):
-                depth[id(k)] = depth[id(x)] + 1
+            if type(k) is not str:
+                depth[id(k)] = below
+        if x.name not in BLOCKS:
+            continue
         kinds = [(0, x.hash)] if _same_words(x) else []
         if _same_shape(x):
             kinds.append((1, x.slot))
         if _container(x) and x.size:
             kinds.append((2, x.path))
         for key in kinds:
-            row = out.setdefault(key, [0.0, 0, depth[id(x)]])
+            row = out.setdefault(key, [0.0, 0, below - 1])
             row[0] += x.size / total
             row[1] += 1
     return [(kind, signed(h), share, times, at) for (kind, h), (share, times, at) in out.items()]
 
 
 def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def _by_shape(order: list[Node], template: set[int]) -> None:
@@ -253,7 +286,7 @@ def extract(root: Node, template: set[int]) -> str:
     todo = [root]
     while todo:
         x = todo.pop()
-        if x.name in mains:
+        if x.name in MAINS:
             mains[x.name].append(x)
         if x.name != "article":
             todo.extend(k for k in reversed(x.kids) if not isinstance(k, str) and not k.gone)
@@ -295,13 +328,32 @@ def places(host: str, path: str) -> list[int]:
 
 
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["host", "place", "top", "kind", "hash", "share", "times", "depth"]
+    """Counts and sums of a task's pages; given on when there are many, and at the end."""
+    columns = ["host", "place", "top", "kind", "hash", "n", "share", "times", "depth"]
+    sums: dict[tuple, list] = {}
+
+    def full() -> pd.DataFrame:
+        out = pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=columns)
+        sums.clear()
+        return out
+
     for batch in batches:
-        rows = []
         for host, path, page in zip(batch["host"], batch["path"], batch["html"], strict=True):
             found = evidence(parse(page))
-            rows += [(host, place, not k, *f) for k, place in enumerate(places(host, path)) for f in found]
-        yield pd.DataFrame(rows, columns=columns)
+            for k, place in enumerate(places(host, path)):
+                for kind, h, share, times, depth in found:
+                    row = sums.get(key := (host, place, not k, kind, h))
+                    if row is None:
+                        sums[key] = [1, share, times, depth]
+                    else:
+                        row[0] += 1
+                        row[1] += share
+                        row[2] += times
+                        row[3] = min(row[3], depth)
+        if len(sums) >= HELD:
+            yield full()
+    if sums:
+        yield full()
 
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,9 +373,9 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = _located(pages)
     placed = x.select("leaf", "host", "path").transform(mapped, _placed, "leaf string, place long, top boolean")
     sizes = placed.groupBy("place").agg(F.count("*").alias("pages"))
-    schema = "host string, place long, top boolean, kind int, hash long, share double, times int, depth int"
+    schema = "host string, place long, top boolean, kind int, hash long, n long, share double, times long, depth int"
     found = x.select("host", "path", "html").transform(mapped, _evidence, schema, 200).groupBy("host", "place", "top", "kind", "hash")
-    found = found.agg(F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("share"), F.avg("times").alias("times"), F.min("depth").alias("depth")).where(F.col("n") >= LEAST_PAGES)
+    found = found.agg(F.sum("n").alias("n"), F.round(F.sum("share") / F.sum("n"), 6).alias("share"), (F.sum("times") / F.sum("n")).alias("times"), F.min("depth").alias("depth")).where(F.col("n") >= LEAST_PAGES)
     found = found.join(sizes, "place").where(F.col("n") >= MOST_SHARE * F.col("pages"))
     # of the containers that have most of the text, the innermost is the content of its host or directory
     content = found.where((F.col("kind") == 2) & (F.col("share") >= CONTENT_SHARE) & (F.col("times") <= ONCE)).groupBy("host", "place", "top").agg(F.max_by("hash", F.struct("depth", "share", "hash")).alias("hash"))
