@@ -24,6 +24,8 @@ from blockloom.functions.entries import decode_entries, encode_entries_udf
 
 Executor = Callable[[int, object], int]
 ZERO, STEP = b"\x00" * 32, 100
+#: An account of these bytes is none; the last is the older form.
+MISSING = (b"", b"\x00", b"\xc0")
 #: What a row is; rows of a block come in this order.
 STATE, CODE, HASH, LOG, BLOCK = range(5)
 
@@ -39,7 +41,8 @@ class Reader:
         return self.written[key] if key in self.written else self.known.get(key)
 
     def basic(self, address: bytes) -> bytes | None:
-        return self._state(address, None)
+        data = self._state(address, None)
+        return None if data in MISSING else data  # as a record tells it, which has no other sign for it
 
     def storage(self, address: bytes, slot: bytes) -> bytes:
         value = self._state(address, slot)
@@ -90,7 +93,7 @@ class Replayer(Reader):
         data = self._next()
         if data is None:
             return super().basic(address) if self.on_exhausted == "fallback" else None
-        return None if data in (b"", b"\x00", b"\xc0") else data
+        return None if data in MISSING else data
 
     def storage(self, address: bytes, slot: bytes) -> bytes:
         data = self._next()

@@ -16,8 +16,8 @@ PAYLOAD_SQL = "p AS (SELECT doc_id AS block, doc_id % 4 AS n, 8 + 3 * (doc_id %
 WITH_DATA = "block long, data binary"
 
 
-def byte(c):
-    return F.unhex(F.lpad(F.hex(c), 2, "0"))
+def byte(c, n: int = 1):
+    return F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
 
 
 def payloads(spark, sf) -> DataFrame:
@@ -219,7 +219,7 @@ def execute_tasks(spark, sf):
 
 def _accounts(spark, sf, n: int) -> DataFrame:
     x = _users(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, range(n)))))
-    return x.select("block", byte(F.col("k")).alias("address"), F.lit(None).cast("binary").alias("slot"), byte(1 + (F.col("block") + F.col("k")) % 200).alias("value"))
+    return x.select("block", byte(F.col("k")).alias("address"), F.lit(None).cast("binary").alias("slot"), byte(1 + (F.col("block") + F.col("k")) % 200, 2).alias("value"))  # two bytes: one byte C0 is no account
 
 
 def _reads(n: int):
