@@ -327,10 +327,10 @@ def _sum_reads(block: int, reader) -> int:
 
 def _state(spark, sf):
     users = table(spark, sf, "events").select(F.col("user_id").alias("block")).distinct()
-    byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
+    byte = lambda c, n=1: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
     x = users.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
     address = F.concat(byte(F.col("block") % 251), byte(F.col("k")))
-    return users, x.select("block", address.alias("address"), F.lit(None).cast("binary").alias("slot"), byte(1 + (F.col("block") + F.col("k")) % 200).alias("value"))
+    return users, x.select("block", address.alias("address"), F.lit(None).cast("binary").alias("slot"), byte(1 + (F.col("block") + F.col("k")) % 200, 2).alias("value"))  # two bytes: one byte C0 is no account
 
 
 FOLD_SQL = "SELECT DISTINCT user_id AS block, CAST((1 + user_id % 200) * 49 + (1 + (user_id + 1) % 200) * 7 + 1 + (user_id + 2) % 200 AS BIGINT) AS result"
