@@ -36,7 +36,8 @@ def ratio_percent(compressed: Column, original: Column) -> Column:
 
 
 def ggas_per_s(gas: Column, seconds: Column) -> Column:
-    return F.when(seconds > 0, F.round(gas / seconds / 1e9, 2))
+    """Rounded to hundredths as binary arithmetic does it, as DuckDB's round: 1.005 lies below the half and gives 1.0."""
+    return F.when(seconds > 0, F.round(gas / seconds / 1e9 * 100.0) / 100.0)
 
 
 def gib(size: Column) -> Column:

@@ -123,3 +123,14 @@ def test_as_of_each(spark):
     q = spark.createDataFrame([("x", 2), ("x", 3), ("x", 9), ("y", 9)], "k string, block long")
     got = {(r.k, r.block): r.value for r in state.as_of_each(q, v, ["k"]).collect()}
     assert got == {("x", 2): None, ("x", 3): 30, ("x", 9): 50, ("y", 9): None}
+
+
+def test_rates_are_rounded_as_sql_rounds_them(spark):
+    """Halves of hundredths, which are mostly not exact as binary numbers: 1.005 lies below the half."""
+    import duckdb
+
+    from blockloom.functions.scalars import ggas_per_s
+
+    got = spark.range(0, 200_000, 5).select("id", ggas_per_s(F.col("id") * 1_000_000, F.lit(1.0)).alias("rate")).collect()
+    assert {r.id: r.rate for r in got} == dict(duckdb.sql("SELECT n, round(n * 1000000 / 1e9, 2) FROM range(0, 200000, 5) AS r(n)").fetchall())
+    assert {r.id: r.rate for r in got}[1005] == 1.0
