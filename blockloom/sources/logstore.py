@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -30,6 +32,8 @@ HEADER = 32
 DATA_MAGIC, INDEX_MAGIC, V1_MAGIC, VERSION = b"STLOGDT2", b"STLOGIX2", b"STLOGMM1", 2
 FILES = {"v2": ("state_logs_data.bin", "state_logs_index.bin"), "file": ("blocks_log.bin", "blocks_log.idx"), "v1": ("state_logs_mmap.bin", "state_logs_mmap.bin")}
 ROW = {"v2": struct.Struct("<QQI"), "v1": struct.Struct("<QQI"), "file": struct.Struct("<QQQ")}
+#: The same as ROW, for whole indexes.
+ROWS = {k: np.dtype([("block", "<u8"), ("offset", "<u8"), ("length", "<u8" if k == "file" else "<u4")]) for k in ROW}
 SCHEMA = "append_pos long, block long, offset long, length long, data binary"
 #: Most bytes of neighbouring payloads that are read at once.
 MOST_READ = 8 << 20
@@ -131,8 +135,10 @@ class _Reader(DataSourceReader):
 
 
 class _Part(WriterCommitMessage):
-    def __init__(self, path: str, rows: list[tuple[int, int]]):
-        self.path, self.rows = path, rows
+    """A part's file, with the block and the length of each record."""
+
+    def __init__(self, path: str, blocks: array, lengths: array):
+        self.path, self.blocks, self.lengths = path, blocks, lengths
 
 
 class _Writer(DataSourceWriter):
@@ -145,13 +151,14 @@ class _Writer(DataSourceWriter):
 
     def write(self, iterator) -> _Part:
         files.make_folder(self.folder)
-        path, rows = files.join(self.folder, f".part-{uuid.uuid4().hex}"), []
+        path, blocks, lengths = files.join(self.folder, f".part-{uuid.uuid4().hex}"), array("Q"), array("Q")
         with files.writer(path) as f:
             for r in iterator:
                 record = bytes(r["data"]) if self.layout == "v2" else pack_record(bytes(r["data"]), self.codec)
                 f.write(record)
-                rows.append((r["block"], len(record)))
-        return _Part(path, rows)
+                blocks.append(r["block"])
+                lengths.append(len(record))
+        return _Part(path, blocks, lengths)
 
     def commit(self, messages) -> None:
         data, index = paths(self.folder, self.layout)
@@ -163,13 +170,15 @@ class _Writer(DataSourceWriter):
         entries = []
         at = files.size(data) or 0
         with files.appender(data) as out:
-            for m in sorted((m for m in messages if m and m.rows), key=lambda m: m.rows[0]):
+            for m in sorted((m for m in messages if m and m.blocks), key=lambda m: (m.blocks[0], m.lengths[0])):
                 with files.reader(m.path) as part:
                     while chunk := part.read(1 << 20):
                         out.write(chunk)
-                for block, n in m.rows:
-                    entries.append(ROW[self.layout].pack(block, at, n))
-                    at += n
+                lengths = np.array(m.lengths, "<u8")
+                rows = np.empty(len(lengths), ROWS[self.layout])
+                rows["block"], rows["offset"], rows["length"] = m.blocks, at + np.cumsum(lengths) - lengths, lengths
+                entries.append(rows.tobytes())
+                at += int(lengths.sum())
         with files.appender(index) as f:  # after the data: a crash between leaves orphaned bytes, never wrong rows
             f.write(b"".join(entries))
         if head:  # the count in the header is for others; readers here go by the file's size
@@ -241,14 +250,20 @@ def write_store(payloads: DataFrame, folder: str, layout: str = "v2", codec: str
 
 def drop_from_index(spark: SparkSession, folder: str, blocks: list[int], layout: str = "v2") -> None:
     """Rewrites the index without some blocks, so that they are written again; the data stays."""
-    rows = [r for r in read_rows(folder, layout, 0, index_span(folder, layout)[1]) if r[1] not in set(blocks)]
-    write_index(folder, layout, [r[1:] for r in rows])
+    begin, n = index_span(folder, layout)
+    rows = np.frombuffer(files.read_range(paths(folder, layout)[1], begin, n * ROW[layout].size), ROWS[layout])
+    gone = np.array([b for b in blocks if 0 <= b < 1 << 64], "<u8")
+    _replace_index(folder, layout, rows[~np.isin(rows["block"], gone)])
 
 
 def write_index(folder: str, layout: str, rows: list[tuple[int, int, int]]) -> None:
+    _replace_index(folder, layout, np.array(rows, ROWS[layout]))
+
+
+def _replace_index(folder: str, layout: str, rows: np.ndarray) -> None:
     index = paths(folder, layout)[1]
     head = (INDEX_MAGIC + VERSION.to_bytes(4, "little") + len(rows).to_bytes(8, "little")).ljust(HEADER, b"\0") if layout == "v2" else b""
-    files.write_whole(index, head + b"".join(ROW[layout].pack(*r) for r in rows))
+    files.write_whole(index, head + rows.tobytes())
 
 
 def migrate_v1(old: str, new: str) -> int:

@@ -107,3 +107,22 @@ def test_text_log_and_specs(spark, tmp_path):
     assert [(r.block, bytes(r.record)) for r in text.read_single_files(spark, str(tmp_path)).collect()] == [(12, b"abc")]
     assert text.chain_spec("dev") == {"name": "dev"} and text.chain_spec('{"a": 1}') == {"a": 1}
     assert [r.raw if r.raw is None else bytes(r.raw) for r in text.transactions(spark, ["0x0102", "ff"]).orderBy("pos").collect()] == [b"\x01\x02", b"\xff"]
+
+
+def test_blocks_to_drop_are_walked_once(tmp_path):
+    """Not once for each row of the index."""
+
+    class Walked(list):
+        times = 0
+
+        def __iter__(self):
+            Walked.times += 1
+            return super().__iter__()
+
+    folder = str(tmp_path)
+    for name, magic in zip(logstore.FILES["v2"], (logstore.DATA_MAGIC, logstore.INDEX_MAGIC), strict=True):
+        (tmp_path / name).write_bytes((magic + (2).to_bytes(4, "little")).ljust(32, b"\0"))
+    logstore.write_index(folder, "v2", [(b, 32 + b, 8) for b in range(100)])
+    logstore.drop_from_index(None, folder, Walked([-1, 3, 97, 1000]))
+    assert logstore.read_rows(folder, "v2", 0, 200) == [(k, b, 32 + b, 8) for k, b in enumerate(b for b in range(100) if b not in (3, 97))]
+    assert Walked.times == 1
