@@ -194,9 +194,7 @@ def account_decode(spark, sf):
 
 @query("SELECT doc_id, true AS zstd, true AS lz4, true AS lzma, 'packed' AS packed, 'raw' AS raw FROM documents WHERE text <> ''")
 def codec_roundtrip(spark, sf):
-    x = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.col("text").cast("binary").alias("t"))
-    back = {c: codecs.unpack_udf(codecs.pack_udf(c)("t")) == F.col("t") for c in ("zstd", "lz4", "lzma")}
-    return x.select("doc_id", *[v.alias(k) for k, v in back.items()], codecs.detect_udf(codecs.pack_udf("zstd")("t"))["format"].alias("packed"), codecs.detect_udf("t")["format"].alias("raw"))
+    return codecs.round_trips(table(spark, sf, "documents").where("text <> ''"), "doc_id", "text", ("zstd", "lz4", "lzma"))
 
 
 def _users(spark, sf) -> DataFrame:
