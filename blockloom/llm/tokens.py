@@ -14,7 +14,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 
 from blockloom.llm.common import WHITE, memo, using
 
@@ -24,6 +26,8 @@ LETTER, MARK = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!-&(-/:-@\\[-`{-~"
 PIECE = re.compile(f" [{LETTER}]+(?=[{MARK} ])|[{WHITE}]*(?:[{LETTER}]+(?=[{MARK}])|[{MARK}]+(?=[{LETTER}{WHITE}]|$)|[^{WHITE}]+)|[{WHITE}]+")
 #: What every special token begins with; texts with it go to the library whole.
 SPECIAL = "<|"
+#: What joins words that the memo lacks, the words that are joined, and how many at a time.
+BAR, WORD_PIECE, JOINED = " |", re.compile(f" [{LETTER}]+"), 500
 _encoders: dict[str, PieceEncoder] = {}
 memo("tokens", _encoders.clear)
 
@@ -35,23 +39,39 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        first, second = (self.tokenizer.encode(BAR * k, add_special_tokens=False).ids for k in (1, 2))
+        self.bar = first[0] if second == first * 2 and len(first) == 1 else None
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [[t] if SPECIAL in t else PIECE.findall(t) for t in texts]
-        memo, extra = self.memo, {}
-        new = list({p for pieces in split for p in pieces if p not in memo})
-        for at in range(0, len(new), 5000):
-            chunk = new[at : at + 5000]
+        memo = self.memo
+        found = [list(map(memo.get, pieces)) for pieces in split]
+        new = dict.fromkeys(p for pieces, ids in zip(split, found, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None)
+        for piece, ids in self._fresh(list(new)):
+            new[piece] = ids
+            if len(memo) < MEMO_ROWS and len(piece) <= MEMO_CHARS:
+                memo[piece] = ids
+        return [b"".join([new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids) for pieces, ids in zip(split, found, strict=True)]
+
+    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of each piece by the library: words after a space joined by BAR, as many short texts take longer than one; others one by one."""
+        words = [p for p in pieces if self.bar is not None and WORD_PIECE.fullmatch(p)]
+        rest = words and set(words)
+        single = [p for p in pieces if p not in rest] if rest else pieces
+        for at in range(0, len(words), JOINED):
+            chunk = words[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([BAR.join(chunk)], add_special_tokens=False)[0].ids, "<u4")
+            bars = np.flatnonzero(ids == self.bar)
+            if len(bars) != len(chunk) - 1:  # a word has the bar's id too
+                single += chunk
+                continue
+            raw, begins = ids.tobytes(), [0, *(4 * bars + 4).tolist()]
+            yield from ((p, raw[a:b]) for p, a, b in zip(chunk, begins, [*(4 * bars).tolist(), len(raw)], strict=True))
+        for at in range(0, len(single), 5000):
+            chunk = single[at : at + 5000]
             for piece, e in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
-                ids = array("I", e.ids).tobytes()
-                if len(memo) < MEMO_ROWS and len(piece) <= MEMO_CHARS:
-                    memo[piece] = ids
-                else:
-                    extra[piece] = ids
-        if not extra:
-            return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
-        return [b"".join([memo[p] if p in memo else extra[p] for p in pieces]) for pieces in split]
+                yield piece, array("I", e.ids).tobytes()
 
 
 def encoder(path: str) -> PieceEncoder:

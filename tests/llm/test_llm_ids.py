@@ -1,5 +1,6 @@
 """Ids beyond 2**53 stay exact beside nulls, in every operator that carries them."""
 
+import numpy as np
 import pytest
 
 from blockloom.llm import decontaminate, embeddings, html, language, neardup, packing, substring, urls, wavelet
@@ -54,3 +55,26 @@ def test_vectors(spark):
     rows = spark.createDataFrame([(None, [1.0, 0.0]), (BIG, [1.0, 0.1]), (BIG + 2, [1.0, 0.11]), (5, None)], "vec_id long, embedding array<float>").coalesce(1)
     got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(rows).collect()}
     assert got == {None: None, BIG: BIG, BIG + 2: BIG, 5: 5}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_that_the_memo_lacks_are_given_to_the_library_together(name):
+    """Each call of the library costs more than a word does; ids and the memo are as if each word had come alone."""
+    from blockloom.llm.tokens import JOINED, PieceEncoder
+
+    words = [f" w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzäöüß'[k // 100 % 10]}é" for k in range(1000)]
+    text = "".join(words) + " | |x ||\nnew \u01c0 (a|b) <|endoftext|>"
+    encoder = PieceEncoder(tokenizer_path(name))
+    library, given = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    for _ in range(2):
+        for x in (text, "".join(words), "".join(words[::-1]), "".join(words) + " | |x ||\nnew \u01c0 (a|b)"):
+            assert encoder.encode([x]) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(given) < len(words) / JOINED + 20
+    assert all(encoder.memo[w] == np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
