@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from blockloom.llm import decontaminate, embeddings, html, language, neardup, packing, substring, urls, wavelet
+from blockloom.llm.common import mapped
 from blockloom.llm.queries import tokenizer_path
 
 BIG = 2**53 + 1
@@ -78,3 +79,26 @@ def test_words_that_the_memo_lacks_are_given_to_the_library_together(name):
             assert encoder.encode([x]) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()]
     assert len(given) < len(words) / JOINED + 20
     assert all(encoder.memo[w] == np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+
+
+def test_a_worker_gives_freed_memory_back_after_a_task(spark):
+    """Freed blocks under one that is still held stay with the process, unless it returns them."""
+
+    def held(batches):
+        import builtins
+        import os
+
+        import pandas as pd
+
+        for _ in batches:
+            with open("/proc/self/statm") as f:
+                rss = int(f.read().split()[1]) * 4096 >> 20
+            blocks = [np.ones(12_000) for _ in range(2500)]  # 240 MB
+            builtins.last_block = np.ones(12_000)
+            yield pd.DataFrame({"pid": [os.getpid()], "mb": [rss], "n": [len(blocks)]})
+
+    one = lambda: mapped(spark.range(1).coalesce(1), held, "pid long, mb long, n long").collect()[0]
+    seen = [one() for _ in range(6)]
+    least = {r.pid: min(x.mb for x in seen if x.pid == r.pid) for r in seen}
+    again = [r for k, r in enumerate(seen) if r.pid in {x.pid for x in seen[:k]}]
+    assert again and all(r.mb < least[r.pid] + 100 for r in again)
