@@ -22,6 +22,8 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 #: A side of a join is broadcast only when it has been counted and has at most so many rows of a few bytes.
 BROADCAST_ROWS = 500_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that Spark hands to a Python worker at a time: as many as a frame has, since both sides hold a batch whole.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 #: What empties each memo of a Python worker. Workers go on to other operators' tasks, so only the memo in use is kept.
@@ -71,12 +73,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors, and is evaluated once."""
     spark, path = df.sparkSession, staging_path(df.sparkSession, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
+    before = {key: spark.conf.get(key) for key in (SHUFFLE_CLEANUP, BATCH)}
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # the result is in files then, so Spark may delete its shuffles at once
+    if not 0 < int(before[BATCH]) < BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,7 +105,7 @@ def _series(column: pa.Array) -> pd.Series:
     return column.to_pandas()
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 2000) -> DataFrame:
+def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Like mapInPandas, but whole numbers beside nulls stay exact, nulls of texts are None, and a frame has so many rows at most."""
     target = to_arrow_schema(StructType.fromDDL(schema))
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import discard, mapped, stage
 
+#: Ids that a task joins before it hands its stars on.
+FOREST = 20_000
+
 
 class Forest(dict):
     """Union-find; the smallest member is the root."""
@@ -30,19 +33,26 @@ class Forest(dict):
 
 
 def _shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The links of a batch as stars: as many rows at most, and often far fewer."""
+    """The links of some batches as stars: as many rows at most, and often far fewer."""
+    forest = Forest()
+
+    def stars() -> pd.DataFrame:
+        rows = [(x, forest.root(x)) for x in list(forest)]
+        forest.clear()
+        return pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["u", "v"])
+
     for batch in batches:
-        forest = Forest()
         for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
             forest.join(u, v)
-        rows = [(x, forest.root(x)) for x in list(forest)]
-        yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["u", "v"])
+        if len(forest) >= FOREST:
+            yield stars()
+    yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. One row (id, component) for each id that isn't the smallest of its component."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = stage(edges.transform(mapped, _shorten, "u long, v long", 1 << 20).distinct(), "links")
+    edges = stage(edges.transform(mapped, _shorten, "u long, v long").distinct(), "links")
     while True:
         settled = edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
         if settled:

@@ -80,7 +80,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 out.append((doc_id, len(x), c1, c2, _minima(x) if len(x) else None, (x[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "c1", "c2", "sig", "sketch"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).transform(mapped, run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).transform(mapped, run, SIGNED, 500)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

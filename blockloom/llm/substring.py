@@ -41,10 +41,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BROADCAST_ROWS, delete, discard, mapped, only_ids, read_file, stage, staging_path, write_file
+from blockloom.llm.common import BROADCAST_ROWS, delete, discard, give_back, mapped, only_ids, read_file, stage, staging_path, write_file
 from blockloom.llm.shingles import windows, word_hashes, words
 
 WIDTH, CHUNK_WORDS, MOST_RUNS, BATCHES, BUCKET_BYTES = 13, 1_500_000, 2, 5, 16 << 20
+#: A task sorts its run in so many ranges of buckets, one after another, so that copies are of one range only.
+RANGES = 8
 CHECK_BITS = 32
 #: kind 0: the windows of a task's run in a bucket; 1: that the bucket exists; 2: flagged places of a run; 3: the documents of a run.
 ROWS = "kind int, bucket int, run string, a binary, b binary, c binary, d binary"
@@ -95,24 +97,28 @@ def _fingerprint(width: int, buckets: int, batch_name: str):
             null = np.array([d[0] is None for d in docs], np.uint8)
             rows.append((3, hash_bucket(name, buckets), name, squeeze(ids), squeeze(counts), squeeze(keys) + null.tobytes(), b"".join(d[3] for d in docs)))
             h, check = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            doc = np.repeat(ids, sizes)
-            order = np.lexsort((doc, check, h))
-            h, check, doc = h[order], check[order], doc[order]
-            begin = _first(h, check)
-            earliest = doc[np.flatnonzero(begin)][np.cumsum(begin) - 1] if len(h) else doc
-            seen = doc > earliest
-            if seen.any():
-                rows.append((2, hash_bucket(name, buckets), name, squeeze_sorted(np.sort(order[seen].astype(np.uint32))), None, None, None))
-            h, check, place = h[~seen], check[~seen], order[~seen].astype(np.uint32)
-            bucket = bucket_of(h, buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in range(buckets):
-                lo, hi = edges[b], edges[b + 1]
-                if lo < hi:
-                    here = np.unique(np.searchsorted(ends, place[lo:hi], "right"))  # the documents that have windows in this bucket
-                    table = squeeze(ids[here])
-                    rows.append((0, b, name, squeeze_sorted(h[lo:hi]), squeeze(check[lo:hi]), squeeze(place[lo:hi]), len(table).to_bytes(4, "little") + table + squeeze(ends[here].astype(np.uint32))))
-            docs, parts, n, k = [], [], 0, k + 1
+            docs, parts = [], []
+            bucket, gone = bucket_of(h, buckets).astype(np.int32), []
+            step = -(-buckets // RANGES)
+            for first in range(0, buckets, step):
+                at = np.flatnonzero((bucket >= first) & (bucket < first + step))
+                doc = ids[np.searchsorted(ends, at, "right")]
+                order = np.lexsort((doc, check[at], h[at]))
+                at, doc = at[order], doc[order]
+                starts = np.flatnonzero(_first(h[at], check[at]))
+                seen = doc > np.repeat(doc[starts], np.diff(starts, append=len(at)))
+                gone.append(at[seen].astype(np.uint32))
+                at = at[~seen]
+                edges = np.searchsorted(bucket[at], np.arange(first, first + step + 1))
+                for b, lo, hi in zip(range(first, buckets), edges, edges[1:], strict=False):
+                    if lo < hi:
+                        place = at[lo:hi]
+                        here = np.unique(np.searchsorted(ends, place, "right"))  # the documents that have windows in this bucket
+                        table = squeeze(ids[here])
+                        rows.append((0, b, name, squeeze_sorted(h[place]), squeeze(check[place]), squeeze(place.astype(np.uint32)), len(table).to_bytes(4, "little") + table + squeeze(ends[here].astype(np.uint32))))
+            if len(x := np.sort(np.concatenate(gone))):
+                rows.append((2, hash_bucket(name, buckets), name, squeeze_sorted(x), None, None, None))
+            n, k = 0, k + 1
             return pd.DataFrame(rows, columns=_COLUMNS)
 
         for batch in batches:
@@ -184,25 +190,27 @@ def _merge(old: list[str], new: str | None, compact: bool):
         h, check, doc = h[order], check[order], doc[order]
         begin = _first(h, check)
         starts, nth = np.flatnonzero(begin), np.cumsum(begin) - 1
-        new_h, new_check = h[starts], check[starts]
+        h, check = h[starts], check[starts]
         known = np.zeros(len(starts), bool)
-        kept = []
         for path in old:
-            old_h, old_check = _get(f"{path}/{bucket}")
-            known |= _known(new_h, new_check, old_h, old_check)
-            if compact:
-                kept.append((old_h, old_check))
-        if len(h):
+            known |= _known(h, check, *_get(f"{path}/{bucket}"))
+        if len(order):
             flagged = order[known[nth] | (doc > doc[starts][nth])]
             where, at = which[flagged], place[flagged]
             for k, name in enumerate(runs["run"]):
                 if len(x := np.sort(at[where == k])):
                     rows.append((2, bucket, name, squeeze_sorted(x), None, None, None))
         if new:
-            kept.append((new_h[~known], new_check[~known]))
-            h, check = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.lexsort((check, h))
-            _put(f"{new}/{bucket}", h[order], check[order])
+            h, check = h[~known], check[~known]
+            del place, doc, which, order, begin, starts, nth
+            if compact:
+                h, check = (np.concatenate(x) for x in zip(*(_get(f"{path}/{bucket}") for path in old), (h, check), strict=True))
+                order = np.lexsort((check, h))
+                h, check = h[order], check[order]
+                del order
+            _put(f"{new}/{bucket}", h, check)
+            del h, check
+        give_back()
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return run
@@ -254,7 +262,7 @@ class FingerprintIndex:
 
     def _add(self, docs: DataFrame, new: str | None, compact: bool) -> DataFrame:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
-        found = rows.transform(mapped, _fingerprint(self.width, self.buckets, uuid.uuid4().hex), ROWS)
+        found = rows.transform(mapped, _fingerprint(self.width, self.buckets, uuid.uuid4().hex), ROWS, 500)
         none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ROWS.split(", ")[2:]]
         all_buckets = self.spark.range(self.buckets).select(F.lit(1).alias("kind"), F.col("id").cast("int").alias("bucket"), *none)
         return stage(found.unionByName(all_buckets).groupBy("bucket").applyInPandas(_merge(self.runs, new, compact), ROWS), "flags")

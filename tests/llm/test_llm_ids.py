@@ -102,3 +102,18 @@ def test_a_worker_gives_freed_memory_back_after_a_task(spark):
     least = {r.pid: min(x.mb for x in seen if x.pid == r.pid) for r in seen}
     again = [r for k, r in enumerate(seen) if r.pid in {x.pid for x in seen[:k]}]
     assert again and all(r.mb < least[r.pid] + 100 for r in again)
+
+
+def test_spark_hands_a_worker_a_few_rows_at_a_time(spark):
+    """Both sides hold a batch whole, so texts of 10,000 rows would be tens of megabytes in each of them."""
+    from blockloom.llm.common import BATCH, BATCH_ROWS, stage
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(BATCH)
+    got = [r.n for r in stage(spark.range(9000).coalesce(1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(got) == 9000 and max(got) <= BATCH_ROWS and spark.conf.get(BATCH) == before
