@@ -5,16 +5,19 @@ a letter and ASCII punctuation other than the apostrophe (except after a capital
 I with a dot, whose lower-case form ends in a combining mark), and treat what lies
 between such places on its own. So a text's ids are those of its pieces one
 after another. The memo keeps the ids of pieces; what is not in it is given to
-the tokenizers library. Its size is bounded: beyond MEMO_ROWS pieces nothing
-more is kept, which costs time but changes no result.
+the tokenizers library: a run of letters to the file's model alone, where the
+file's other steps are known to leave such a run whole (STEPS), and anything
+else to all its steps. The memo's size is bounded: when MEMO_ROWS pieces are in
+it nothing more is kept, which costs time but changes no result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -28,22 +31,67 @@ PIECE = re.compile(f" [{LETTER}]+(?=[{MARK} ])|[{WHITE}]*(?:[{LETTER}]+(?=[{MARK
 SPECIAL = "<|"
 #: What joins words that the memo lacks, the words that are joined, and how many at a time.
 BAR, WORD_PIECE, JOINED = " |", re.compile(f" [{LETTER}]+"), 500
+#: A run of letters, alone or after one space or line feed.
+RUN = re.compile(f"[ \n]?[{LETTER}]+")
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SEEN]
+#: The letter that stands for each byte in byte-level files: its own if that can be seen, else one of those from 256 on (Ġ for a space, Ċ for a line feed).
+_LETTERS = str.maketrans({b: chr(256 + k) for k, b in enumerate(_HIDDEN)})
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_MATCHES = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _spelled(text: str) -> str:
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+
+
+def _kept(run: str) -> tuple[str, ...]:
+    """The space goes with the letters, a line feed stands alone."""
+    return ("Ġ" + _spelled(run[1:]),) if run[0] == " " else ("Ċ", _spelled(run[1:])) if run[0] == "\n" else (_spelled(run),)
+
+
+#: Normalizer and pre-tokenizer, and what the model gets of a RUN, one text after another.
+STEPS: list[tuple[object, object, Callable[[str], tuple[str, ...]]]] = [
+    (None, _BYTE_LEVEL | {"use_regex": True}, _kept),
+    (_LOWER, {"type": "Sequence", "pretokenizers": [_MATCHES, _BYTE_LEVEL | {"use_regex": False}]}, lambda run: (_spelled(run.lower().strip()),)),
+]
 _encoders: dict[str, PieceEncoder] = {}
 memo("tokens", _encoders.clear)
 
 
+class _Memo(dict):
+    """The ids of pieces; those that it lacks it asks for, one by one."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        self.ask = ask
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ask(piece)
+        if len(self) < MEMO_ROWS and len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        own = steps["normalizer"], steps["pre_tokenizer"]
+        self.runs = next((runs for *known, runs in STEPS if tuple(known) == own and steps["post_processor"] is None), None)
+        self.model = self.tokenizer.model
+        self.memo: dict[str, bytes] = _Memo(self._ids)
         first, second = (self.tokenizer.encode(BAR * k, add_special_tokens=False).ids for k in (1, 2))
         self.bar = first[0] if second == first * 2 and len(first) == 1 else None
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.runs:
+            return [b"".join(map(self.memo.__getitem__, [t] if SPECIAL in t else PIECE.findall(t))) for t in texts]
         split = [[t] if SPECIAL in t else PIECE.findall(t) for t in texts]
         memo = self.memo
         found = [list(map(memo.get, pieces)) for pieces in split]
@@ -54,6 +102,14 @@ class PieceEncoder:
                 memo[piece] = ids
         return [b"".join([new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids) for pieces, ids in zip(split, found, strict=True)]
 
+    def _ids(self, piece: str) -> bytes:
+        """The ids of one piece by the library."""
+        if self.runs and RUN.fullmatch(piece):
+            tokens = [t.id for run in self.runs(piece) for t in self.model.tokenize(run)]
+        else:
+            tokens = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+        return array("I", tokens).tobytes()
+
     def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids of each piece by the library: words after a space joined by BAR, as many short texts take longer than one; others one by one."""
         words = [p for p in pieces if self.bar is not None and WORD_PIECE.fullmatch(p)]

@@ -81,6 +81,28 @@ def test_words_that_the_memo_lacks_are_given_to_the_library_together(name):
     assert all(encoder.memo[w] == np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_runs_of_letters_need_the_model_only(name, tmp_path):
+    """Every letter of the range, alone and after a space or line feed; files whose steps are not known go the library's whole way."""
+    import json
+    import re
+
+    from blockloom.llm.tokens import LETTER, PieceEncoder
+
+    letters = re.findall(f"[{LETTER}]", "".join(map(chr, range(0x250))))
+    runs = [before + "".join(letters[k : k + 5]) for k in range(len(letters)) for before in ("", " ", "\n")]
+    encoder, whole = PieceEncoder(tokenizer_path(name)), []
+    library, encoder.tokenizer = encoder.tokenizer, type("Counted", (), {"encode_batch_fast": lambda self, texts, **_: whole.extend(texts) or library.encode_batch_fast(texts, **_)})()
+    expected = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(runs, add_special_tokens=False)]
+    assert encoder.encode(runs) == expected and not whole
+    with open(tokenizer_path(name), encoding="utf-8") as f:
+        steps = json.load(f)
+    steps["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [steps["pre_tokenizer"]]}
+    (tmp_path / "other.json").write_text(json.dumps(steps))
+    other = PieceEncoder(str(tmp_path / "other.json"))
+    assert not other.runs and other.encode(runs) == expected
+
+
 def test_a_worker_gives_freed_memory_back_after_a_task(spark):
     """Freed blocks under one that is still held stay with the process, unless it returns them."""
 
