@@ -10,8 +10,9 @@ Populations begin with several heuristics: best fit, longest first; bins that
 are completed one by one with the pair of pieces that fills them best; and best
 fit of pieces that are partly in any order. An island stops when it meets the
 lower bound (all tokens over the capacity), which proves that no packing has
-fewer bins; so where best fit meets it, nothing is left to evolve. Else it goes
-on for GENERATIONS, or until PATIENCE of them bring nothing. ``report`` says
+fewer bins. Where best fit meets it, nothing is left to evolve, so it is tried
+once for each block before there are islands. Else an island goes on for
+GENERATIONS, or until PATIENCE of them bring nothing. ``report`` says
 what evolution saves over best fit.
 
 The best individual of a block wins; its worst-filled bins, of at most RELEASE
@@ -215,6 +216,7 @@ def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int
 
 
 STATE = "block long, island int, keys array<long>, lengths array<int>, bins array<int>, n_bins int, fill double"
+_STATE = [c.split()[0] for c in STATE.split(", ")]
 
 
 def _dense(was: list[int]) -> list[int]:
@@ -223,6 +225,28 @@ def _dense(was: list[int]) -> list[int]:
     return [names.setdefault(w, len(names)) for w in was]
 
 
+def _begun(capacity: int):
+    """One row of a block whose bins, or else best fit, meet the lower bound; else one for each island, of no bins yet (n_bins 0) but those that it had."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                lengths, was = [int(x) for x in r.lengths], [int(w) for w in r.was]
+                least = -(-sum(lengths) // capacity)
+                own = _dense(was) if was[0] >= 0 else []
+                packing = Bins.of(lengths, capacity, own)
+                if not own or len(packing.bins) > least:
+                    packing = Bins(lengths, capacity)
+                    packing.best_fit(list(range(len(lengths))))
+                if len(packing.bins) <= least:
+                    rows = [(r.block, 0, r.keys, lengths, packing.assignment(), *packing.fitness())]
+                else:
+                    rows = [(r.block, island, r.keys, lengths, own, 0, 0.0) for island in range(ISLANDS)]
+                yield pd.DataFrame(rows, columns=_STATE)
+
+    return run
+
+
 def _epoch(first: bool, capacity: int):
     def run(block: int, island: int, keys, lengths, elites: list) -> list[tuple]:
         n = [int(x) for x in lengths]
@@ -231,17 +255,16 @@ def _epoch(first: bool, capacity: int):
         own = (block, island, keys, lengths, best.assignment(), n_bins, fill)
         return [own, (block, (island + 1) % ISLANDS, *own[2:])]
 
-    columns = [c.split()[0] for c in STATE.split(", ")]
-
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                was = [int(w) for w in r.was]
-                yield pd.DataFrame(run(r.block, r.island, r.keys, r.lengths, [_dense(was)] if was[0] >= 0 else []), columns=columns)
+                yield pd.DataFrame([tuple(r)] if r.n_bins else run(r.block, r.island, r.keys, r.lengths, [r.bins] if len(r.bins) else []), columns=_STATE)
 
     def go_on(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) == 1:  # no islands: the bound is met
+            return group
         r = group.iloc[0]
-        return pd.DataFrame(run(int(r.block), int(r.island), r["keys"], r.lengths, list(group["bins"]))[:1], columns=columns)
+        return pd.DataFrame(run(int(r.block), int(r.island), r["keys"], r.lengths, list(group["bins"]))[:1], columns=_STATE)
 
     return begin if first else go_on
 
@@ -249,8 +272,9 @@ def _epoch(first: bool, capacity: int):
 def _evolved(items: DataFrame, capacity: int) -> DataFrame:
     """items: block, key, length, was (the bin that it was in, or -1). The winning packing of each block, one row a block."""
     blocks = items.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "length", "was"))).alias("x"))
-    blocks = blocks.select("block", F.col("x.key").alias("keys"), F.col("x.length").cast("array<int>").alias("lengths"), F.col("x.was").alias("was"), F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
-    state = blocks.repartition("block", "island").transform(mapped, _epoch(True, capacity), STATE, 1)
+    blocks = blocks.select("block", F.col("x.key").alias("keys"), F.col("x.length").cast("array<int>").alias("lengths"), F.col("x.was").alias("was"))
+    begun = blocks.transform(mapped, _begun(capacity), STATE, 1)
+    state = begun.repartition("block", "island").transform(mapped, _epoch(True, capacity), STATE, 1)
     for _ in range(EPOCHS - 1):
         state = state.groupBy("block", "island").applyInPandas(_epoch(False, capacity), STATE)
     return state.groupBy("block").agg(F.min_by(F.struct("keys", "lengths", "bins"), F.struct("n_bins", "fill", "island")).alias("w")).select("block", "w.*")

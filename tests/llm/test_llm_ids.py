@@ -1,6 +1,7 @@
 """Ids beyond 2**53 stay exact beside nulls, in every operator that carries them."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from blockloom.llm import decontaminate, embeddings, html, language, neardup, packing, substring, urls, wavelet
@@ -139,3 +140,20 @@ def test_spark_hands_a_worker_a_few_rows_at_a_time(spark):
     before = spark.conf.get(BATCH)
     got = [r.n for r in stage(spark.range(9000).coalesce(1).mapInArrow(sizes, "n long"), "sizes").collect()]
     assert sum(got) == 9000 and max(got) <= BATCH_ROWS and spark.conf.get(BATCH) == before
+
+
+def test_best_fit_is_tried_once_for_a_block_that_needs_no_evolution():
+    """Islands begin only where best fit, or the bins as they were, leave more bins than the lower bound."""
+
+    def rows(lengths, was):
+        blocks = pd.DataFrame([(7, list(range(len(lengths))), lengths, was)], columns=["block", "keys", "lengths", "was"])
+        return [r for out in packing._begun(10)(iter([blocks])) for r in out.itertuples(index=False)]
+
+    met = rows([6, 4, 7, 3], [-1] * 4)
+    assert [(r.island, r.n_bins) for r in met] == [(0, 2)] and met[0].bins == [1, 1, 0, 0]
+    kept = rows([6, 4, 7, 3], [30, 30, 9, 9])
+    assert [(r.n_bins, r.bins) for r in kept] == [(2, [0, 0, 1, 1])]
+    again = list(packing._epoch(True, 10)(iter([pd.DataFrame(met)])))
+    assert [list(r) for r in again[0].itertuples(index=False)] == [list(met[0])]
+    open_ = rows([6, 6, 6], [-1] * 3)
+    assert [(r.island, r.n_bins, r.bins) for r in open_] == [(k, 0, []) for k in range(packing.ISLANDS)]
