@@ -19,7 +19,8 @@ isn't compared again.
    Groups of near copies fall together here, in pairs linear in their size.
 2. Lists whose members lie in one component are dropped. Lists that are still
    mixed and have more than SHORT members get up to ROUNDS further rounds,
-   each with two other pivots.
+   each with two other pivots. After a round that joins little, whose pairs are
+   mostly not similar enough, no other follows: blocks refute pairs by sketches.
 3. Of what is then still mixed, the members of a list that lie in different
    components are compared in blocks, each pair in the first list that it
    shares. Candidates must agree in ``least`` minima and come near the
@@ -51,6 +52,8 @@ COORDINATES, SHORT, ROUNDS, PIVOTS = 64, 24, 3, 2
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 #: The smallest shingle hashes of a set that its sketch holds, and the members of a list that are compared with each other at a time.
 SKETCH, BLOCK = 256, 1024
+#: A round that finds no more links than FEW, and less than one for each REFUTED candidates, is the last.
+FEW, REFUTED = 1024, 16
 #: Pairs of one document that a task confirms, and what stands for no id in sorted rows.
 SALT, NONE = 2000, -(1 << 63)
 SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>, sketch binary"
@@ -210,6 +213,7 @@ class _Join:
         prefix = shared.where(slots > 0).select("rep", F.explode(F.slice("t", 1, slots)).alias("t"))
         out = stage(prefix.select("t.list", "rep", "t.n"), "postings")
         discard(many)
+        self.reps = stage(only_ids(self.reps, out.select("rep").distinct(), "rep"), "posted")  # the others meet no one
         return out
 
     def mixed(self, postings: DataFrame) -> DataFrame:
@@ -244,7 +248,7 @@ class _Join:
         return rows.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y").transform(mapped, _near(self.least, self.percent), "a long, b long")
 
     def link(self, pairs: DataFrame) -> bool:
-        """Adds the pairs that agree in enough minima and whose sets are similar enough; whether there are any."""
+        """Adds the pairs that agree in enough minima and whose sets are similar enough; whether more of that kind are worth a try."""
         a = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         b = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         x = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
@@ -252,12 +256,12 @@ class _Join:
         close = stage(x.where(agree >= self.least).select("a", "b"), "candidates")
         while self.held:
             discard(self.held.pop())
-        found = stage(confirm(close, self.docs, self.width, self.percent), "found")
+        tried, found = close.count(), stage(confirm(close, self.docs, self.width, self.percent), "found")
         discard(close)
         self.links = found if self.links is None else self.links.unionByName(found)
-        if some := not found.isEmpty():
+        if some := found.count():
             self.comps = components(self.links)
-        return some
+        return some > FEW or REFUTED * some > tried
 
     def run(self) -> DataFrame | None:
         postings = self.post()
@@ -269,6 +273,7 @@ class _Join:
                 break
         self.link(self.between(self.mixed(postings)))
         discard(postings)
+        discard(self.reps)
         return self.comps
 
 

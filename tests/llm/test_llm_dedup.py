@@ -86,6 +86,23 @@ def test_near_duplicates_of_a_group_without_centre(spark, monkeypatch):
     assert got == near_brute(rows, 3, 85)
 
 
+def test_a_round_that_is_mostly_refuted_is_the_last(spark, monkeypatch):
+    """Copies just under the threshold: a round of random pivots finds a few links among many candidates."""
+    turns, pivots = [], neardup._Join.pivots
+    monkeypatch.setattr(neardup._Join, "pivots", lambda self, x, most, turn=0: (turns.append(turn), pivots(self, x, most, turn))[1])
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(300)}" for _ in range(100)]
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for _ in range(rng.choice((2, 3, 3, 3))):
+            words[rng.randrange(100)] = f"y{rng.randrange(9999)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, rows), 3, 85).collect()}
+    assert got == near_brute(rows, 3, 85)
+    assert turns == [0, 1]
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     got = neardup.near_duplicates(docs(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")])).collect()
@@ -108,6 +125,19 @@ def test_components_of_chains_and_cycles(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_few_links_are_settled_by_one_task(spark, monkeypatch, few):
+    names, stage = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: (names.append(name), stage(df, name))[1])
+    if not few:
+        monkeypatch.setattr(components, "FOREST", 2)  # on the driver
+    links = [(k, k + 1) for k in range(60)] + [(200, k) for k in range(201, 240)]
+    random.Random(3).shuffle(links)
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+    assert got == {k: 0 for k in range(1, 61)} | {k: 200 for k in range(201, 240)}
+    assert (names == ["links", "stars"]) == few
+
+
 def substring_brute(rows, width):
     first = {}
     words = [(i, WORD.findall(t or "")) for i, t in rows]
